@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.exact_dedup import exact_dedup
 from siltstone.llm.line_dedup import line_dedup
+from siltstone.llm.mixing import mix
+from siltstone.llm.packing import pack
 from siltstone.llm.quality_rules import quality_rules
 
 
@@ -31,10 +33,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    pieces = pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from each document so that sources meet their targets."""
+    mixed = mix(_documents(spark, sf_dir), carry=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_packing": op7_packing,
+    "op9_mixing": op9_mixing,
 }
 
 SQL = {
