@@ -6,16 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.exact_dedup import exact_dedup
+from siltstone.llm.langid import identify
+from siltstone.llm.licenses import license_scan
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.mixing import mix
 from siltstone.llm.packing import pack
+from siltstone.llm.quality_classifier import classify
 from siltstone.llm.quality_rules import quality_rules
+from siltstone.llm.url_filters import host_of, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a scorer trained on weak labels."""
+    return classify(_documents(spark, sf_dir))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, own and inherited.
+
+    The table has no paths. A document lies in source/<thousand>/<hundred> of
+    its id; it is called LICENSE there if it is short and speaks of a licence.
+    """
+    short = (F.length("text") < 1500) & F.col("text").rlike("(?i)licen[cs]e")
+    name = F.when(short, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.lit("file."), F.col("doc_id")))
+    place = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.when(short & (F.length("text") < 600), F.lit(None)).otherwise(F.expr("doc_id div 100")), name)
+    files = _documents(spark, sf_dir).select("doc_id", place.alias("path"), "text")
+    return license_scan(files, F.col("path").rlike("/LICENSE[^/]*$"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of all documents."""
     return exact_dedup(_documents(spark, sf_dir))
@@ -41,18 +63,68 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, learnt from three of four."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    found = identify(_documents(spark, sf_dir), fold != 2)
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document so that sources meet their targets."""
     mixed = mix(_documents(spark, sf_dir), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries about the hosts of the pages, by a fixed rule.
+
+    The tables hold no list. Every host whose name has a length divisible by
+    three is listed as a domain on a day of 2024 set by that length; those of
+    even length are allowed 60 days later and those divisible by five removed
+    after 150. Every host under ``example.net`` is allowed as a host from July on.
+    """
+    hosts = pages.select(host_of(F.col("url")).alias("value")).filter("value != ''").distinct().withColumn("n", F.length("value"))
+    start = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(n * 7 % 200)")
+
+    def entry(kind: str, action: str, when, after: int) -> DataFrame:
+        return hosts.filter(when).select(
+            F.lit(kind).alias("kind"), "value", F.lit(action).alias("action"), (start + F.expr(f"make_dt_interval({after})")).alias("listed_at")
+        )
+
+    n = F.col("n")
+    return (
+        entry("domain", "block", n % 3 == 0, 0)
+        .unionByName(entry("domain", "allow", (n % 3 == 0) & (n % 2 == 0), 60))
+        .unionByName(entry("domain", "remove", (n % 3 == 0) & (n % 5 == 0), 150))
+        .unionByName(
+            hosts.filter(F.col("value").endswith(".example.net")).select(
+                F.lit("host").alias("kind"), "value", F.lit("allow").alias("action"), F.expr("timestamp_ntz'2024-07-01 00:00:00'").alias("listed_at")
+            )
+        )
+    )
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by the list entries active when they were fetched.
+
+    Pages carry no fetch time; page n is fetched n * 37 % 365 days into 2024.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    at = F.expr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(page_id * 37 % 365 as int))")
+    return url_filter(pages.withColumn("fetched_at", at), list_entries(pages)).drop("url")
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 
 SQL = {
@@ -69,6 +141,33 @@ SQL = {
                sha AS text_sha256
         FROM d
     """,
+    "op10_url_filter": """
+        WITH p AS (
+            SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+                   TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(page_id * 37 % 365 AS INT)) AS fetched_at
+            FROM pages
+        ), h AS (
+            SELECT DISTINCT host AS value, length(host) AS n,
+                   TIMESTAMP '2024-01-01' + to_days(CAST(length(host) * 7 % 200 AS INT)) AS start
+            FROM p WHERE host <> ''
+        ), e AS (
+            SELECT 'domain' AS kind, value, 'block' AS action, start AS listed_at FROM h WHERE n % 3 = 0
+            UNION ALL SELECT 'domain', value, 'allow', start + to_days(60) FROM h WHERE n % 3 = 0 AND n % 2 = 0
+            UNION ALL SELECT 'domain', value, 'remove', start + to_days(150) FROM h WHERE n % 3 = 0 AND n % 5 = 0
+            UNION ALL SELECT 'host', value, 'allow', TIMESTAMP '2024-07-01' FROM h WHERE value LIKE '%.example.net'
+        ), listed AS (
+            SELECT p.page_id, e.kind, e.value, arg_max(e.action, e.listed_at) AS action, max(e.listed_at) AS listed_at
+            FROM p JOIN e ON e.listed_at <= p.fetched_at
+             AND (e.value = p.host OR (e.kind = 'domain' AND suffix(p.host, '.' || e.value)))
+            GROUP BY ALL
+        ), best AS (
+            SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY kind = 'host' DESC, length(value) DESC) AS nth
+            FROM listed WHERE action <> 'remove'
+        )
+        SELECT p.page_id, p.fetched_at, coalesce(b.action, 'pass') AS action,
+               coalesce(b.kind || ':' || b.value, '') AS listed_as, b.listed_at, coalesce(b.action, 'pass') <> 'block' AS kept
+        FROM p LEFT JOIN best b ON b.page_id = p.page_id AND b.nth = 1
+    """,
     "op4_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, text, string_split(text, chr(10)) AS lines,
