@@ -59,7 +59,7 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, text): (id, n, half, f): set size, its part in the half space, fingerprint."""
+    """From (id, text, th): (id, th, n, half, f): set size, its part in the half space, fingerprint."""
     for batch in batches:
         n, half, f = [], [], []
         for text in batch.column(1).cast(pa.binary()):
@@ -67,7 +67,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(tokens))
             half.append(int(in_half(tokens).sum()))
             f.append(fingerprint(tokens) if len(tokens) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(half, pa.int64()), pa.array(f, pa.int64())], names=["id", "n", "half", "f"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(half, pa.int64()), pa.array(f, pa.int64())], names=["id", "th", "n", "half", "f"])
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from siltstone.llm import _shingles as sh
 from siltstone.llm._bloom import bloom, flagged
 from siltstone.llm._components import components
 from siltstone.llm._trie import trie_components
-from siltstone.llm._work import matched, stored
+from siltstone.llm._work import matched, stored, words
 
 BLOCK_SETS = 2000
 BUCKET_TOKENS = 2_000_000
@@ -144,11 +144,17 @@ def linked_sets(sets: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id of its component)."""
+    """One row per input row: id, n_shingles, component_id (the smallest id of its component), kept, text_hash.
+
+    ``kept`` marks the row with the smallest id of each component; of rows with
+    that id the one with the least text_hash.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(text_col)
-    meta = stored(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(sh.describe, f"id {kind}, n long, half long, f long"), "meta")
-    classes = meta.filter("f is not null").groupBy("f").agg(F.count("*").alias("rows"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("half").alias("half"))
+    described = docs.select(F.col(id_col).alias("id"), text_col, F.xxhash64(text_col).alias("th"))
+    meta = stored(described.mapInArrow(sh.describe, f"id {kind}, th long, n long, half long, f long"), "meta")
+    key = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("th").alias("th"))
+    classes = meta.filter("f is not null").groupBy("f").agg(F.count("*").alias("rows"), F.min(key).alias("low"), F.first("n").alias("n"), F.first("half").alias("half"))
     classes = stored(classes, "classes")
     buckets = max(12, (classes.agg(F.sum("half")).first()[0] or 0) // BUCKET_TOKENS + 1)
     asks = texts.mapInArrow(sh.asker(buckets), sh.ASK_SCHEMA)
@@ -166,8 +172,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = stored(linked_sets(ordered), "linked")
     lows = labels.join(classes.select("f", "low"), "f").groupBy("label").agg(F.count("*").alias("m"), F.min("low").alias("least"))
     named = matched(labels, stored(lows, "lows"), ["label"], "m").select("f", "least")
-    final = classes.join(named, "f", "left").select("f", "rows", F.coalesce("least", "low").alias("component_id"))
+    final = classes.join(named, "f", "left").select("f", "rows", F.coalesce("least", "low").alias("best"))
     final = stored(final, "final")
-    with_set = matched(meta.filter("f is not null"), final, ["f"], "rows").select("id", "n", "component_id")
-    without = meta.filter("f is null").select("id", "n", F.col("id").alias("component_id"))
-    return with_set.unionByName(without).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    with_set = matched(meta.filter("f is not null"), final, ["f"], "rows").select(
+        "id", "n", F.col("best.id").alias("component_id"), (key == F.col("best")).alias("kept"), "th"
+    )
+    without = meta.filter("f is null").select("id", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"), "th")
+    return with_set.unionByName(without).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept", F.col("th").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input with one row of each component; texts without words all stay.
+
+    Only rows that may be dropped, by a Bloom filter, are shuffled.
+    """
+    groups = near_groups(docs, id_col, text_col).filter("n_shingles > 0").groupBy(id_col, "text_hash")
+    special = groups.agg(F.count("*").alias("n"), F.max("kept").alias("__kept")).filter("not __kept or n > 1")
+    special = special.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th"), "__kept", F.xxhash64(id_col, "text_hash").alias("__special"))
+    special = stored(special, "special")
+    keyed = docs.withColumn("__text_hash", F.xxhash64(text_col)).withColumn("__row_key", F.xxhash64(id_col, "__text_hash"))
+    tested = flagged(keyed, "__row_key", stored(bloom(special, "__special"), "bloom"), "__maybe")
+    moved = F.col("__maybe") & (F.size(words(F.col(text_col))) > 0)
+    single = tested.filter(moved).dropDuplicates([id_col, "__text_hash"])
+    judged = single.join(special, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left")
+    return tested.filter(~moved).select(*docs.columns).unionByName(judged.filter(F.coalesce("__kept", F.lit(True))).select(*docs.columns))

@@ -10,6 +10,7 @@ from siltstone.llm.langid import identify
 from siltstone.llm.licenses import license_scan
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.mixing import mix
+from siltstone.llm.ngram_join import near_groups
 from siltstone.llm.packing import pack
 from siltstone.llm.quality_classifier import classify
 from siltstone.llm.quality_rules import quality_rules
@@ -55,6 +56,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return near_groups(_documents(spark, sf_dir)).drop("text_hash")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     import public_tokenizers
@@ -121,6 +127,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
