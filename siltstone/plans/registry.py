@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from siltstone.plans import queries_dsl, queries_ops
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity and price by return flag, for flags with many lines."""
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag")
-        .agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
-        .orderBy("l_returnflag")
-    )
+    """Quantities and prices by flag and status, through the query language."""
+    return queries_dsl.queries()["dsl_flagship"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    """Query name to callable (spark, sf_dir)."""
+    return queries_dsl.queries() | queries_ops.QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    """Query name to DuckDB SQL, where SQL can express the query."""
+    return queries_dsl.oracle_sql() | queries_ops.SQL
