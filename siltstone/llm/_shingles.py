@@ -227,7 +227,7 @@ def count_answers(rows: pd.DataFrame) -> pd.DataFrame:
 def ordered(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """Of one block: each set's shared shingles, the rarest first, and its size n."""
     if not len(answers) or not len(block):
-        return pd.DataFrame({"f": [], "n": [], "tokens": []})
+        return pd.DataFrame([], columns=["f", "n", "tokens"], dtype=object)
     tokens = np.concatenate([np.frombuffer(t, dtype=np.uint64) for t in answers["tokens"]])
     counts = np.concatenate([np.frombuffer(c, dtype="<u4") for c in answers["counts"]]).astype(np.int64)
     order = np.argsort(tokens)

@@ -154,7 +154,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "limit", F.when(F.col("hot"), ((F.col("rate") - F.floor("rate")) * F.lit(2.0**64) - F.lit(2.0**63)).cast("long"))
     )
     rates = stored(rates.select("k", "size", "n", "rate", "hot", "limit"), "rates")
-    drawn = light.join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("__name"))).select("k", F.col("__size").alias("size"), "__draw")
+    named = F.broadcast(sources.withColumnRenamed("k", "__k"))
+    drawn = light.select("__source", "__size", "__draw").join(named, F.col("__source").eqNullSafe(F.col("__name"))).select(F.col("__k").alias("k"), F.col("__size").alias("size"), "__draw")
     hot = rates.filter("hot")
     extra = matched(drawn, hot, ["k", "size"], "n").groupBy("k", "size").agg(F.sum((F.col("__draw") <= F.col("limit")).cast("long")).alias("extra"))
     rounded = (
@@ -173,14 +174,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     decided = (
         rounded.join(ranked, ["k", "size"], "left")
         .join(hot.select("k", "size", "limit"), ["k", "size"], "left")
-        .select("k", F.col("size").alias("__s"), "n", "base", F.coalesce("exact", "limit").alias("last"))
+        .select(F.col("k").alias("__k"), F.col("size").alias("__s"), F.col("n").alias("__n"), F.col("base").alias("__base"), F.coalesce("exact", "limit").alias("__last"))
     )
     decided = stored(decided, "decided")
     rows = measured(docs, carry, id_col, text_col, source_col) if heavy else light
-    rows = rows.join(F.broadcast(sources), F.col("__source").eqNullSafe(F.col("__name"))).withColumn("__s", F.col("__size"))
+    rows = rows.join(named, F.col("__source").eqNullSafe(F.col("__name"))).withColumn("__s", F.col("__size"))
     if decided.count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(decided), ["k", "__s"])
+        joined = rows.join(F.broadcast(decided), ["__k", "__s"])
     else:
-        joined = matched(rows, decided, ["k", "__s"], "n")
-    copies = F.col("base") + F.coalesce((F.col("__draw") <= F.col("last")).cast("long"), F.lit(0))
+        joined = matched(rows, decided, ["__k", "__s"], "__n")
+    copies = F.col("__base") + F.coalesce((F.col("__draw") <= F.col("__last")).cast("long"), F.lit(0))
     return joined.select(*carry, F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"))
