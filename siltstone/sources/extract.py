@@ -314,7 +314,10 @@ def _graph_rows(path: str, language: str, text: str) -> list[tuple]:
             for position, (name, kind) in enumerate(item.members):
                 method = name.endswith("()")
                 bare = name.removesuffix("()")
-                add("method_field" if method else "field", f"{key}::{bare or f'embedded{position}'}", bare, kind, owner=key, target=kind, position=position, params=len(_split(kind[1 : _balanced(kind, 0) - 1])) if method else None)
+                end = _balanced(kind, 0) if method else 0
+                tail = kind[end:].strip()
+                returns = len(_split(tail[1:-1])) if tail.startswith("(") else int(bool(tail))
+                add("method_field" if method else "field", f"{key}::{bare or f'embedded{position}'}", bare, kind, owner=key, target=kind, position=position, params=len(_split(kind[1 : end - 1])) if method else None, returns=returns if method else None)
     for caller, callee, line in found.calls:
         number = numbers[caller] = numbers.get(caller, -1) + 1
         add("call", f"{path}::{caller}::call{number}", callee, "calls", owner=f"{path}::{caller}", target=callee, position=number, first=line)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.window import Window
 
 QUIET = "500 milliseconds"
@@ -82,3 +83,22 @@ class ReloadMetrics:
     def snapshot(self) -> dict:
         """The counters as a dict."""
         return dict(vars(self))
+
+
+class ProgressLog(StreamingQueryListener):
+    """The last events of streaming queries, in a ring that drops the oldest."""
+
+    def __init__(self, size: int = 10) -> None:
+        self.events: deque[dict] = deque(maxlen=size)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.events.append({"event": "started", "id": str(event.id)})
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.events.append({"event": "progress", "batch": event.progress.batchId, "rows": event.progress.numInputRows})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.events.append({"event": "idle", "id": str(event.id)})
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.events.append({"event": "ended", "id": str(event.id), "error": event.exception})

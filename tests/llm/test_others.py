@@ -130,7 +130,7 @@ def test_backoff():
     assert predict("the thing")[0] == "en" and predict("DER")[0] == "de"
     assert predict("things thinging")[0] == "en" and predict("dinge")[0] == "de"
     assert predict("qqqqq")[0] == "xx"
-    assert predict(None) == predict("") == predict("12 !?") == ("und", 0.0)
+    assert predict(None) == predict("") == predict("12 !?") == predict("² Ⅷ _") == ("und", 0.0)
     assert 0 < predict("zzz")[1] <= 1
     assert Predictor(LanguageModel([])).predict("word") == ("und", 0.0)
 
