@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.inference import closure
+
 DEFAULT_DEPTH, MAX_DEPTH = 3, 6
 
 
@@ -144,6 +146,23 @@ def adjacency(calls: DataFrame, caller: str = "caller", callee: str = "callee")
     return both.groupBy("function").agg(F.sort_array(F.collect_set("__out")).alias("callees"), F.sort_array(F.collect_set("__in")).alias("callers"))
 
 
+def hotspots(calls: DataFrame, k: int, caller: str = "caller", callee: str = "callee") -> DataFrame:
+    """The k functions with most distinct callers: (function, n_callers)."""
+    counts = calls.filter(F.col(callee).isNotNull()).groupBy(F.col(callee).alias("function")).agg(F.count_distinct(caller).alias("n_callers"))
+    return counts.orderBy(F.desc("n_callers"), "function").limit(k)
+
+
+def unused(functions: DataFrame, calls: DataFrame, function_id: str, callee: str = "callee") -> DataFrame:
+    """Functions that nothing calls."""
+    called = calls.select(F.col(callee).alias(function_id)).distinct()
+    return functions.join(called, function_id, "left_anti")
+
+
+def circular(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Nodes on a cycle: those that reach themselves."""
+    return closure(edges, a, b).filter("a = b").select(F.col("a").alias("node"))
+
+
 def graph_nodes(types: DataFrame, functions: DataFrame) -> DataFrame:
     """Types and functions as nodes (id, kind, name, file_path)."""
     a = types.select(F.col("type_id").alias("id"), "kind", "name", "file_path")

@@ -458,6 +458,22 @@ def call_adjacency(spark, sf_dir):
     return graph.adjacency(_calls(spark, sf_dir))
 
 
+@_query(f"WITH {_CALLS} SELECT callee AS function, COUNT(*) AS n_callers FROM calls GROUP BY callee ORDER BY n_callers DESC, function LIMIT 10")
+def graph_hotspots(spark, sf_dir):
+    return graph.hotspots(_calls(spark, sf_dir), 10)
+
+
+@_query(f"WITH {_CALLS} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT callee FROM calls)")
+def graph_unused(spark, sf_dir):
+    return graph.unused(_read(spark, sf_dir, "customer").select("c_custkey"), _calls(spark, sf_dir), "c_custkey")
+
+
+@_query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation WHERE n_nationkey % 4 <> 2), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node FROM c WHERE a = b")
+def graph_circular(spark, sf_dir):
+    edges = _read(spark, sf_dir, "nation").filter("n_nationkey % 4 <> 2").select(F.col("n_nationkey").alias("a"), F.expr("(n_nationkey * 3 + 1) % 25").alias("b"))
+    return graph.circular(edges, "a", "b")
+
+
 def _types_functions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     types = _read(spark, sf_dir, "nation").select(F.concat(F.lit("t"), "n_nationkey").alias("type_id"), F.lit("struct").alias("kind"), F.col("n_name").alias("name"), F.lit("a.go").alias("file_path"))
     functions = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("function_id"), (F.col("s_suppkey") % 2 == 0).alias("is_method"), F.col("s_name").alias("name"), F.lit("b.go").alias("file_path"))

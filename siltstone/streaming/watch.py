@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.window import Window
 
 QUIET = "500 milliseconds"
+# Limits of a watch: files a batch, and folders that are never watched.
+MAX_FILES = 1000
+SKIPPED = (".git", "node_modules", ".siltstone")
+
+
+def file_stream(spark: SparkSession, root: str, extensions: list[str] | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """New files under a folder as a stream of (path, modificationTime, length, content)."""
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
+    if extensions:
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
+    skipped = "|".join(re.escape(name) for name in SKIPPED)
+    files = reader.schema("path string, modificationTime timestamp, length long, content binary").load(root)
+    return files.filter(~F.col("path").rlike(f"/(?:{skipped})/"))
 
 
 def debounced(events: DataFrame, keys: list[str], time_col: str, item_col: str, gap: str, watermark: str | None = None) -> DataFrame:
