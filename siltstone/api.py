@@ -6,16 +6,19 @@ import json
 import time
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.catalog import Catalog
+from siltstone.functions.scalars import context_snippet
 from siltstone.operators import fulltext, graph, pattern, vector
 from siltstone.plans import dsl
 
 # Fixed values of the tools' arguments.
 GRAPH_OPERATIONS = ("callers", "callees", "dependencies", "dependents", "type_usages", "implementations", "path", "impact")
 TOOL_DEPTH, MAX_TOOL_DEPTH = 1, 10
-GRAPH_LIMIT = 100
+GRAPH_LIMIT, MAX_GRAPH_LIMIT = 100, 500
+CONTEXT_LINES, MAX_CONTEXT_LINES = 3, 20
 
 
 def coerce(value: Any, kind: type) -> Any:
@@ -66,8 +69,7 @@ def search(catalog: Catalog, provider: vector.Provider, request: dict) -> dict:
     limit = clamp(request.get("limit"), vector.DEFAULT_LIMIT, 1, vector.MAX_LIMIT)
     query = provider.embed([request["query"]], mode="query")[0]
     chunks = catalog.tables["chunks"].join(catalog.tables["files"].select("file_path", "language"), "file_path")
-    languages = [r[0] for r in catalog.tables["files"].select("language").distinct().limit(100).collect()]
-    where = vector.tag_filter(coerce(request.get("tags") or [], list), languages, F.col("language"), F.col("chunk_type"))
+    where = vector.tag_filter(coerce(request.get("tags") or [], list), F.col("language"), F.col("chunk_type"))
     types = coerce(request.get("chunk_types") or [], list)
     if types:
         where = F.col("chunk_type").isin(types) if where is None else where & F.col("chunk_type").isin(types)
@@ -98,7 +100,7 @@ def graph_query(catalog: Catalog, request: dict) -> dict:
     if operation not in GRAPH_OPERATIONS:
         raise ValueError(f"unsupported operation: {operation}")
     depth = clamp(request.get("depth"), TOOL_DEPTH, 1, MAX_TOOL_DEPTH)
-    limit = clamp(request.get("max_results"), GRAPH_LIMIT, 1, GRAPH_LIMIT)
+    limit = clamp(request.get("max_results"), GRAPH_LIMIT, 1, MAX_GRAPH_LIMIT)
     names = {"caller": "caller_function_id", "callee": "callee_function_id"}
     if operation in ("callers", "callees"):
         if operation == "callers":
@@ -120,7 +122,17 @@ def graph_query(catalog: Catalog, request: dict) -> dict:
         found = graph.path_nodes(path, t["functions"], "function_id", ["name", "file_path", "is_method", "receiver_type_name"]).orderBy("position")
     else:
         found = graph.impact(t["function_calls"], t["type_relationships"], target, request.get("depth"), callee_name="callee_name", **names).orderBy("depth", "id")
-    return _page([r.asDict() for r in found.limit(limit).collect()], limit, began)
+    found = found.limit(limit)
+    if request.get("include_context", True) and "start_line" in found.columns:
+        found = _with_context(found, t["files"], clamp(request.get("context_lines"), CONTEXT_LINES, 0, MAX_CONTEXT_LINES))
+    return _page([r.asDict() for r in found.collect()], limit, began)
+
+
+def _with_context(found: DataFrame, files: DataFrame, lines: int) -> DataFrame:
+    """The rows with the text around their lines, fetched by one join."""
+    numbered = found.withColumn("__row", F.monotonically_increasing_id())
+    texts = numbered.join(files.select("file_path", "content"), "file_path", "left")
+    return texts.withColumn("context", context_snippet(F.col("content"), F.col("start_line"), F.col("end_line"), lines)).orderBy("__row").drop("content", "__row")
 
 
 def pattern_query(catalog: Catalog, request: dict) -> dict:

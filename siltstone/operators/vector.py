@@ -6,6 +6,8 @@ top-k per partition; no vector is shuffled.
 
 from __future__ import annotations
 
+import functools
+import operator
 import struct
 from collections.abc import Iterator
 from typing import Protocol
@@ -77,17 +79,16 @@ def search(chunks: DataFrame, query: list[float], key: str, limit: int | None =
     return scored.filter(F.col("score") >= min_score) if min_score is not None else scored
 
 
-def tag_filter(tags: list[str], languages: list[str], language: Column, kind: Column) -> Column | None:
-    """Condition of language and content tags; unknown tags are ignored."""
-    chosen = [t for t in tags if t in languages]
-    contents = [t for t in tags if t in ("code", "documentation")]
-    out = None
-    if chosen:
-        out = language.isin(chosen)
-    if contents and set(contents) != {"code", "documentation"}:
-        content = (kind == "documentation") if contents[0] == "documentation" else (kind != "documentation")
-        out = content if out is None else out & content
-    return out
+# Tags that name a language.
+LANGUAGE_TAGS = ("go", "typescript", "javascript", "python", "rust", "c", "cpp", "java", "php", "ruby", "tsx", "jsx")
+
+
+def tag_filter(tags: list[str], language: Column, kind: Column) -> Column | None:
+    """Condition of language and content tags, all of which must hold; unknown tags are ignored."""
+    wanted = [language == tag for tag in tags if tag in LANGUAGE_TAGS]
+    wanted += [kind != "documentation" for tag in tags if tag == "code"]
+    wanted += [kind == "documentation" for tag in tags if tag == "documentation"]
+    return functools.reduce(operator.and_, wanted) if wanted else None
 
 
 def mock_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:

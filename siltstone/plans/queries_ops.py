@@ -207,7 +207,7 @@ def vec_search_filtered(spark, sf_dir):
 @_query(f"WITH n AS (SELECT vec_id, label, {_L2} AS d FROM embeddings ORDER BY d, vec_id LIMIT 30) SELECT vec_id, label FROM n WHERE label % 2 = 0 ORDER BY d, vec_id LIMIT 15")
 def vec_filtered(spark, sf_dir):
     kind = F.when(F.col("label") % 2 == 0, "documentation").otherwise("symbols")
-    where = vector.tag_filter(["documentation", "no such tag"], [], F.lit("go"), kind)
+    where = vector.tag_filter(["documentation", "go", "no such tag"], F.lit("go"), kind)
     return vector.search(_read(spark, sf_dir, "embeddings"), _Q, "vec_id", 15, where).select("vec_id", "label")
 
 

@@ -29,6 +29,8 @@ def test_tools(spark):
     assert [r["chunk_id"] for r in api.search(catalog, Fixed(), {"query": "x", "tags": ["documentation"]})["results"]] == ["2"]
     hit = api.exact(catalog, {"query": "sprint", "limit": 1})
     assert hit["results"][0]["id"] == "file-a.go" and hit["truncated"] and "<mark>Sprint</mark>" in hit["results"][0]["snippet"]
-    assert [r["function_id"] for r in api.graph_query(catalog, {"operation": "callers", "target": "g"})["results"]] == ["f"]
+    up = api.graph_query(catalog, {"operation": "callers", "target": "g"})["results"]
+    assert [r["function_id"] for r in up] == ["f"] and up[0]["context"] == "// Lines 1-1\nreturn fmt.Sprint(x)"
+    assert api.search(catalog, Fixed(), {"query": "x", "tags": ["code", "documentation"]})["results"] == []
     assert [r["function_id"] for r in api.graph_query(catalog, {"operation": "path", "target": "f", "to": "g", "depth": 3})["results"]] == ["f", "g"]
     assert api.pattern_query(catalog, {"pattern": "fmt.Sprint($A)", "language": "go"})["total_found"] == 1
