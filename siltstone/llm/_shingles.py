@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 
+from siltstone.llm._work import settled
+
 WIDTH = 5
 # Shingle hashes of a flush of the packed exchange, about.
 FLUSH = 1_000_000
@@ -153,6 +155,7 @@ def asker(buckets: int):
                         yield asks.flush()
         if asks.owners:
             yield asks.flush()
+        settled()
 
     return run
 
@@ -185,7 +188,10 @@ def answered(rows: pd.DataFrame) -> pd.DataFrame:
         counts.append(n)
     if not keys:
         return pd.DataFrame({"f": np.zeros(0, dtype=np.int64), "shared": np.zeros(0, dtype=np.int64)})
-    return pd.DataFrame({"f": np.concatenate(keys), "shared": np.concatenate(counts)})
+    out = pd.DataFrame({"f": np.concatenate(keys), "shared": np.concatenate(counts)})
+    del tokens, owners, keys, counts
+    settled()
+    return out
 
 
 def count_asks(buckets: int):

@@ -8,9 +8,13 @@ costs its running tasks, not the steps before. Where that setting is absent
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +25,28 @@ HOT_GROUPS = 1000
 # Fixed value of the contracts: the characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 
+# Bytes of an Arrow batch to Python, about. Spark's default of 64 MB is held
+# several times over, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
+
 _own: dict[str, str] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the size of Arrow batches to Python to BATCH_BYTES; smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def settled() -> None:
+    """Give memory that a task no longer needs back, as Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, or one of our own where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

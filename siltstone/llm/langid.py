@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.llm._work import bounded_batches
+
 # Bounds of the model: documents of the training sample (about), words a
 # language, n-grams a length.
 SAMPLE_DOCS = 20_000
@@ -91,7 +93,7 @@ class Predictor:
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its probability, or ``und`` and 0."""
         found = Counter(_WORD.findall(text.lower())) if text else None
-        if not found or not self.model.languages:
+        if not found or not self.model.languages or not any(c.isalpha() for word in found for c in word):
             return "und", 0.0
         if len(self.seen) > CACHED_WORDS:
             self.seen.clear()
@@ -139,4 +141,5 @@ def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
                     names=[id_col, "lang_pred", "score"],
                 )
 
+    bounded_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")

@@ -13,7 +13,7 @@ id and text are one document and get the same result. Null ids order last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._bloom import bloom, flagged
@@ -22,7 +22,7 @@ from siltstone.llm._work import SPACES, matched, stored
 WINDOW = 3
 
 
-def _order() -> F.Column:
+def _order() -> Column:
     return F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("pos").alias("pos"))
 
 

@@ -25,21 +25,28 @@ table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import _shingles as sh
 from siltstone.llm._bloom import bloom, flagged
 from siltstone.llm._components import components
 from siltstone.llm._trie import trie_components
-from siltstone.llm._work import matched, stored, words
+from siltstone.llm._work import bounded_batches, matched, settled, stored, words
 
+# Most sets and, about, shared shingles of a block that builds one tree.
 BLOCK_SETS = 2000
+BLOCK_SHARED = 1_500_000
 BUCKET_TOKENS = 2_000_000
 BLOCK_TOKENS = 1_000_000
 _SET = "f long, n long, tokens array<bigint>"
 
 
+def _blocks(sets: str, shared: str) -> Column:
+    """Into how many blocks so many sets with so many shared shingles are split."""
+    return F.expr(f"cast(greatest(ceil({sets} / {BLOCK_SETS}), ceil({shared} / {BLOCK_SHARED})) as int)")
+
+
 def _joined(rows: pd.DataFrame) -> list[int]:
     """Of one group of sets, for each the position of the first one in its component."""
     # The order is given rarest first; the tree wants the most frequent first.
@@ -55,6 +62,7 @@ def _local(rows: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("f", ignore_index=True)
         f = group["f"].tolist()
         out.append(pd.DataFrame({"f": f, "comp": comp, "label": [f[i] for i in _joined(group)]}))
+    settled()
     return pd.concat(out)
 
 
@@ -84,10 +92,10 @@ def _split_groups(sets: DataFrame, labels: DataFrame) -> DataFrame:
         ends = labels.join(sets.select("f", "n"), "f").groupBy("comp", "label").agg(F.min_by("f", "n").alias("low"), F.max_by("f", "n").alias("high"))
         reps = ends.select("comp", "label", F.explode(F.array_distinct(F.array("low", "high"))).alias("f")).join(sets, "f")
         reps = stored(reps, "representatives")
-        sizes = reps.groupBy("comp").agg(F.count("*").alias("m"), F.count_distinct("label").alias("open")).filter("open > 1")
+        sizes = reps.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.size("tokens")).alias("w"), F.count_distinct("label").alias("open")).filter("open > 1")
         if sizes.isEmpty():
             return labels
-        blocked = reps.join(sizes, "comp").withColumn("blk", F.expr(f"pmod(xxhash64(label), cast(ceil(m / {BLOCK_SETS}) as int))"))
+        blocked = matched(reps, stored(sizes, "sizes"), ["comp"], "m").withColumn("blk", F.pmod(F.xxhash64("label"), _blocks("m", "w")))
         before = labels
         labels = _merged(labels, blocked.groupBy("comp", "blk").applyInPandas(_relabelled, "a long, b long"))
         if labels is before:
@@ -99,9 +107,9 @@ def _split_groups(sets: DataFrame, labels: DataFrame) -> DataFrame:
         return labels
     known = stored(matched(labels, groups, ["comp"], "all").join(sets, "f"), "known")
     rest = known.filter("label != main")
-    wide = groups.join(rest.groupBy("comp").agg(F.count("*").alias("few")), "comp").select(
-        "comp", F.expr(f"cast(ceil(few / {BLOCK_SETS}) as int)").alias("down"), F.expr(f"cast(ceil(all / {BLOCK_SETS}) as int)").alias("across"), F.col("all").alias("rows")
-    )
+    apart = F.when(F.col("label") != F.col("main"), 1)
+    counts = known.withColumn("w", F.size("tokens")).groupBy("comp").agg(F.count(apart).alias("few"), F.sum(apart * F.col("w")).alias("few_w"), F.count("*").alias("rows"), F.sum("w").alias("rows_w"))
+    wide = counts.select("comp", _blocks("few", "few_w").alias("down"), _blocks("rows", "rows_w").alias("across"), "rows")
     wide = stored(wide, "wide")
     columns = ["comp", "f", "n", "tokens", "label"]
     down, across = F.expr("pmod(xxhash64(f, 1), down)"), F.expr("pmod(xxhash64(f, 2), across)")
@@ -120,27 +128,29 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     firsts = stored(firsts, "firsts")
     edges = matched(prefix, firsts, ["t"], "n").filter("f != first").select(F.col("f").alias("a"), F.col("first").alias("b")).distinct()
     weak = stored(components(edges).select(F.col("node").alias("f"), "comp"), "weak")
-    sizes = stored(weak.groupBy("comp").agg(F.count("*").alias("m")), "weak_sizes")
+    weighed = weak.join(sets.select("f", F.size("tokens").alias("w")), "f")
+    sizes = stored(weighed.groupBy("comp").agg(F.count("*").alias("m"), F.sum("w").alias("w")).withColumn("parts", _blocks("m", "w")), "weak_sizes")
     grouped = matched(weak, sizes, ["comp"], "m").join(sets, "f")
-    several = F.col("m") > BLOCK_SETS
-    together = max(1, weak.count() // 1000)
+    several = F.col("parts") > 1
+    total = sizes.agg(F.sum("m"), F.sum("w")).first()
+    together = max(1, (total[0] or 0) // 1000, (total[1] or 0) // (BLOCK_SHARED // 3))
     grouped = grouped.select(
         "f",
         "n",
         "tokens",
         "comp",
         F.when(several, F.col("comp")).otherwise(F.expr(f"pmod(xxhash64(comp), {together})")).alias("place"),
-        F.when(several, F.expr(f"pmod(xxhash64(f), cast(ceil(m / {BLOCK_SETS}) as int))")).otherwise(F.lit(-1)).cast("long").alias("blk"),
+        F.when(several, F.pmod(F.xxhash64("f"), F.col("parts"))).otherwise(F.lit(-1)).cast("long").alias("blk"),
     )
     grouped = stored(grouped, "grouped")
     local = grouped.groupBy("place", "blk").applyInPandas(_local, "f long, comp long, label long")
-    large = sizes.filter(F.col("m") > BLOCK_SETS)
+    large = sizes.filter(several)
     local = stored(matched(stored(local, "local"), sizes, ["comp"], "m"), "local_sized")
     if large.isEmpty():
         return local.select("f", "label")
-    split = stored(local.filter(F.col("m") > BLOCK_SETS).select("f", "comp", "label"), "split")
+    split = stored(local.filter(several).select("f", "comp", "label"), "split")
     done = _split_groups(grouped.filter("blk >= 0").select("f", "n", "tokens"), split)
-    return local.filter(F.col("m") <= BLOCK_SETS).select("f", "label").unionByName(done.select("f", "label"))
+    return local.filter(~several).select("f", "label").unionByName(done.select("f", "label"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,6 +160,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that id the one with the least text_hash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     texts = docs.select(text_col)
     described = docs.select(F.col(id_col).alias("id"), text_col, F.xxhash64(text_col).alias("th"))
     meta = stored(described.mapInArrow(sh.describe, f"id {kind}, th long, n long, half long, f long"), "meta")

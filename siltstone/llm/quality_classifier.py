@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._work import stored
+from siltstone.llm._work import bounded_batches, stored
 from siltstone.llm.quality_rules import fit_rules, measured, votes
 
 # Bounds: documents of the training sample (about) and hash buckets.
@@ -88,6 +88,7 @@ def fit_scorer(rows: list, rounds: int = 300, rate: float = 0.05, decay: float =
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """One row per document: id, score (double, 0 to 1) and kept."""
+    bounded_batches(docs.sparkSession)
     key = F.xxhash64(F.lit(3), text_col)
     measures = stored(measured(docs.select(text_col, key.alias("__key")), text_col, ["__key"]), "measures")
     model = fit_rules(measures)
