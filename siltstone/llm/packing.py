@@ -18,17 +18,34 @@ runs again.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from siltstone.llm._work import bounded_batches, settled
+
 WINDOW = 4096
-BUFFER_TOKENS = 4_000_000
-CACHED_WORDS = 400_000
+BUFFER_TOKENS = 1_000_000
+# Runs of a generation of the token cache, of which two are kept.
+CACHED_WORDS = 150_000
 CACHED_LENGTH = 48
+# A point or comma between a letter and the end of a run.
+_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|$)")
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+
+# Fixed value of the vocabulary: how tokens that end a word are marked.
+WORD_END = "</w>"
+# Plain runs that are tokenised as one text.
+TOGETHER = 64
+
+
+def _cut(data: bytes, ends: list[int]) -> list[bytes]:
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class TokenCache:
@@ -44,27 +61,71 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encoded(self, runs: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        # Runs of plain letters are one word each. They are tokenised many to a
+        # text and parted again after the ids that end a word.
+        plain = [run for run in runs if _PLAIN.fullmatch(run)]
+        texts = [" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4")
+        ends = (np.flatnonzero(self.ending[flat]) + 1) * 4
+        found = dict(zip(plain, _cut(flat.tobytes(), ends.tolist()), strict=True))
+        others = [run for run in runs if run not in found]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4")
+        found.update(zip(others, _cut(flat.tobytes(), [4 * n for n in accumulate(map(len, ids))]), strict=True))
+        return [found[run] for run in runs]
+
+    @staticmethod
+    def runs(text: str) -> list[str]:
+        """The runs of a text.
+
+        The tokenizer lowers letters and never joins letters with points and
+        commas, so plain texts are lowered and split there too: fewer runs are
+        distinct. Beyond Latin-1, where lower() may look at neighbours and
+        characters may combine, texts stay as they are.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        return _STOP.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        runs = list(new)
-        self.known.update(zip(runs, self._encoded(runs), strict=True))
-        known = self.known
-        out = [b"".join([known[run] for run in runs]) for runs in split]
-        for run in runs:
-            if len(run) > CACHED_LENGTH:
-                del known[run]
-        return out
+        single = list(dict.fromkeys(texts))
+        split = [self.runs(text) for text in single]
+        if len(self.known) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        # Lookups by the run go to a table of this batch alone, which stays in
+        # the processor's cache; the large one is asked once for each run.
+        distinct = set().union(*split)
+        local = dict(zip(distinct, map(known.get, distinct), strict=True))
+        new = [run for run, ids in local.items() if ids is None]
+        again = {run: ids for run, ids in zip(new, map(older.get, new), strict=True) if ids is not None}
+        fresh = [run for run in new if run not in again]
+        again.update(zip(fresh, self._encoded(fresh), strict=True))
+        local.update(again)
+        known.update((run, ids) for run, ids in again.items() if len(run) <= CACHED_LENGTH)
+        out = {text: b"".join(map(local.__getitem__, runs)) for text, runs in zip(single, split, strict=True)}
+        return [out[text] for text in texts]
+
+
+_caches: dict[str, TokenCache] = {}
+
+
+def cached(path: str) -> TokenCache:
+    """The tokenizer of this Python worker, with the runs that earlier tasks met."""
+    if path not in _caches:
+        _caches[path] = TokenCache(path)
+    return _caches[path]
 
 
 class CapacityTree:
@@ -189,12 +250,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         ids, tokens, held, arrow = [], [], 0, None
         next_id = TaskContext.get().partitionId() << 32
         for batch in batches:
-            cache = cache or TokenCache(tokenizer)
+            cache = cache or cached(tokenizer)
             arrow = arrow or pa.schema(
                 [(id_col, batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
             )
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 encoded = [x + end for x in cache.encode([t or "" for t in part.column(1).to_pylist()])]
                 ids += part.column(0).to_pylist()
                 tokens += encoded
@@ -205,5 +266,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     yield out
         if ids:
             yield _flushed(ids, tokens, arrow, window, next_id)[0]
+        ids, tokens = [], []
+        settled()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
