@@ -148,6 +148,23 @@ SQL = {
                sha AS text_sha256
         FROM d
     """,
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w
+        ), g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b USING (gram)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+               coalesce(component_id, s.doc_id) = s.doc_id AS kept
+        FROM s LEFT JOIN comp USING (doc_id)
+    """,
     "op10_url_filter": """
         WITH p AS (
             SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
