@@ -1,16 +1,26 @@
 """Licence detection by TF-IDF cosine to templates, with directory inheritance.
 
-Every line of a file that holds a cue word is compared to each template by the
-cosine of sparse TF-IDF vectors: tokens join the templates' weights, and sums by
-(file, line, template) give the products. The best template at or above the
+Templates are notices, SPDX lines, and the headers and paragraphs of full
+licence texts. A file is compared to each in every unit of its text: each
+line, each block of adjacent lines, each comment with its blocks, and the whole
+text, by the cosine of sparse TF-IDF vectors: tokens join the templates'
+weights, and sums by (file, unit, template) give the products. The best template at or above the
 threshold is the file's own licence. Files without one inherit from the
 licence file in their nearest ancestor directory: distinct directories are
 expanded to their ancestors and joined to the directories that hold licence
 files, and the deepest match wins.
 
+Units are left out only where no template can reach the threshold: by
+Cauchy-Schwarz a unit must share tokens that hold ``least`` squared of a
+template's squared weight, so it must have one of the template's telling
+tokens; and bounds on the product by the largest weight of each token over
+all templates must reach it. A unit that shares one word alone names no licence.
+
 Cases: null texts and paths have no licence and inherit none (null path) or
-by their path. Ties between templates go to the name that sorts first, between
-licence files of a directory to the path that sorts first. Repeated rows are
+by their path. A bare reservation of rights gives way to any licence. Ties
+between licences go to the one with the larger sum over the file's units (a
+paragraph that GPL-2.0 and GPL-3.0 share decides nothing), then to the name
+that sorts first; ties between licence files of a directory go to the path that sorts first. Repeated rows are
 judged each. Empty tables work. Columns named like the result's are replaced.
 """
 
@@ -19,10 +29,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm._bloom import bloom, flagged
 from siltstone.llm._work import matched, stored
 
 TEMPLATES = [
@@ -39,8 +51,70 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
+    ("Proprietary", "All rights reserved."),
 ]
-CUES = "(?i)licen[cs]e|copyright|rights reserved|public domain|permission|spdx"
+# Words of any English text; they are the last to be telling tokens.
+_ORDINARY = set(
+    "a about after all also an and are as at be been best but by can de do first for from had has have he her here his how i if in into is it its just like made make me more most my new no not of on one only or our "
+    "out over own she so some such take than that the their them then there these they this those time to too two up us very was way we well were what when where which while who will with would".split()
+)
+# SPDX identifiers by name; GPL and its kin have two forms each.
+_SPDX = ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "ISC", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib"]
+_SPDX_GNU = ["AGPL-3.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0"]
+# Paragraphs of fewer words, as headings are, stand in texts that aren't licences.
+_LEAST_WORDS = 12
+# Of these the first paragraph names the licence; the others begin with their terms or a general title.
+_TITLED = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+_BLANKS = "\\n[^A-Za-z0-9]*\\n"
+_COMMENT = "[ \\t]*(?:#|//|/\\*|\\*|--|;|%)"
+
+
+def _gnu_header(kind: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. "
+        f"You should have received a copy of the GNU {kind} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+def _headers() -> list[tuple[str, str]]:
+    """Headers as files carry them, also in one paragraph."""
+    gnu = [("AGPL-3.0", "Affero General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3")]
+    gnu += [("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3")]
+    found = []
+    for name, kind, version in gnu:
+        whole = _gnu_header(kind, version)
+        found += [(name, whole), (name, whole[: whole.index(" This program is distributed")])]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    return found + [
+        ("MPL-2.0", mpl + " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+        ("Apache-2.0", apache + " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+        (
+            "Apache-2.0",
+            apache + " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License "
+            'is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+            "See the License for the specific language governing permissions and limitations under the License.",
+        ),
+    ]
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """The paragraphs of full licence texts, and the short texts whole."""
+    found = []
+    for file in sorted(resources.files("siltstone.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        blocks = [b for b in re.split(_BLANKS, text) if re.search("[A-Za-z0-9]", b)]
+        found += [(name, b) for i, b in enumerate(blocks) if len(b.split()) >= _LEAST_WORDS or i == 0 and name in _TITLED]
+        if len(text) < 3000:
+            found.append((name, text))
+    return found
+
+
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in _SPDX]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}{end}") for name in _SPDX_GNU for end in ("", "-only", "-or-later")]
+TEMPLATES += _headers()
 LEAST = 0.6
 _TOKEN = "[^a-z0-9]+"
 RESULT = ["own_license", "own_score", "license", "license_from"]
@@ -58,29 +132,124 @@ def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int,
     return rows, idf, math.log(1 + len(bags)) + 1
 
 
+def _with_own_words(short: list[tuple[str, str]], full: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The templates without those paragraphs of full texts that ordinary words alone could match."""
+    while True:
+        ordinary: Counter = Counter()
+        for number, _, token, weight in template_weights(short + full)[0]:
+            ordinary[number] += weight * weight * (token in _ORDINARY)
+        left = [t for i, t in enumerate(full, len(short)) if ordinary[i] < (LEAST - 1e-4) ** 2]
+        if len(left) == len(full):
+            return short + full
+        full = left
+
+
+TEMPLATES = _with_own_words(TEMPLATES, _full_texts())
+
+
+def telling_tokens(rows: list[tuple[int, str, str, float]], idf: dict[str, float], least: float) -> list[str]:
+    """Tokens of which a text must have one to reach a cosine of ``least`` to any template.
+
+    Of each template tokens are taken, ordinary words last and then by idf,
+    until the others hold less than ``least`` squared of its squared weights.
+    """
+    bound, found, by_template = max(least - 1e-6, 0.0) ** 2, set(), {}
+    for number, _, token, weight in rows:
+        by_template.setdefault(number, []).append((token in _ORDINARY, -idf[token], token, weight))
+    for tokens in by_template.values():
+        tokens.sort()
+        for at in range(len(tokens)):
+            if sum(t[3] ** 2 for t in tokens[at:]) < bound:
+                break
+            found.add(tokens[at][2])
+    return sorted(found)
+
+
+def token_gains(rows: list[tuple[int, str, str, float]], idf: dict[str, float], least: float) -> dict[str, float] | None:
+    """How far each occurrence of a token brings a unit; None where no bound holds.
+
+    With o the norm of a template's ordinary words, a unit u has a cosine of at
+    most o plus the sum of idf * weight over its other tokens divided by |u|. So
+    a unit whose sum of idf * weight / (least - o), at most over templates, is
+    under |u| reaches no template; and |u| is at least the idf of an unknown
+    token times the root of the number of distinct ones.
+    """
+    ordinary: Counter = Counter()
+    for number, _, token, weight in rows:
+        ordinary[number] += weight * weight * (token in _ORDINARY)
+    room = {n: least - 1e-6 - math.sqrt(o) for n, o in ordinary.items()}
+    if min(room.values()) <= 0:
+        return None
+    gains: dict[str, float] = {}
+    for number, _, token, weight in rows:
+        if token not in _ORDINARY:
+            gains[token] = max(gains.get(token, 0.0), idf[token] * weight / room[number])
+    return gains
+
+
+def units(text: Column) -> Column:
+    """The distinct lines, blocks of adjacent lines, comments and their blocks, and the whole text."""
+
+    def blocks(part: Column) -> Column:
+        return F.split(part, _BLANKS)
+
+    # A line that is no comment begins each part but perhaps the first; the rest of the part is one comment.
+    parts = F.split(text, f"\\n(?!{_COMMENT})")
+    runs = F.transform(parts, lambda part: F.when(part.rlike(f"^{_COMMENT}"), part).otherwise(F.regexp_replace(part, "^[^\\n]*\\n?", "")))
+    return F.array_distinct(F.concat(F.split(text, "\n"), blocks(text), runs, F.flatten(F.transform(runs, blocks)), F.array(text)))
+
+
 def own_licenses(files: DataFrame, text_col: str, key: str, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """Rows (key, own_license, own_score) of the files with a recognised line."""
+    """Rows (key, own_license, own_score) of the files with a recognised unit."""
     rows, idf, other = template_weights(templates)
     spark = files.sparkSession
     weights = spark.createDataFrame(rows, "number int, template string, token string, weight double")
-    idfs = spark.createDataFrame(sorted(idf.items()), "token string, idf double")
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda line: line.rlike(CUES))
+    most = dict.fromkeys(idf, 0.0)
+    for _, _, token, weight in rows:
+        most[token] = max(most[token], weight)
+    idfs = spark.createDataFrame([(t, idf[t], most[t]) for t in sorted(idf)], "token string, idf double, most double")
+    telling = F.array(*[F.lit(t) for t in telling_tokens(rows, idf, least)])
+
+    def split(part: Column) -> Column:
+        return F.split(F.lower(part), _TOKEN)
+
+    def told_units(some: DataFrame) -> DataFrame:
+        told = some.select(key, text_col, F.array_intersect(split(F.col(text_col)), telling).alias("told")).filter(F.size("told") > 0)
+        return told.select(key, F.posexplode(F.filter(units(F.col(text_col)), lambda u: F.arrays_overlap(split(u), F.col("told")))).alias("unit", "words"))
+
+    gains = token_gains(rows, idf, least)
+    if gains is None:
+        chosen = told_units(files)
+    else:
+        gain = spark.createDataFrame(sorted(gains.items()), "token string, gain double")
+        every = F.array(*[F.lit(t) for t in sorted(idf)])
+        # Two steps, so that the other tokens are counted once a unit and not for each token.
+        sized = told_units(files).withColumn("words", split(F.col("words"))).withColumn("others", F.size(F.array_except("words", every)))
+        sized = sized.select(key, "unit", "others", F.explode("words").alias("token"))
+        reach = sized.join(F.broadcast(gain), "token").groupBy(key, "unit").agg(F.sum("gain").alias("gain"), F.first("others").alias("others"))
+        # One of the other tokens may be the empty string.
+        may = stored(reach.filter(F.col("gain") >= other * F.sqrt(F.greatest(F.col("others") - 1, F.lit(0)))).select(key, "unit"), "reach")
+        passed = flagged(files.select(key, text_col), key, stored(bloom(may.distinct(), key), "bloom"), "__may").filter("__may")
+        chosen = told_units(passed).join(may, [key, "unit"], "left_semi")
     tokens = (
-        files.filter(F.col(text_col).rlike(CUES))
-        .select(key, F.posexplode(lines).alias("line", "words"))
-        .select(key, "line", F.explode(F.split(F.lower("words"), _TOKEN)).alias("token"))
+        chosen.select(key, "unit", F.explode(split(F.col("words"))).alias("token"))
         .filter("token != ''")
-        .groupBy(key, "line", "token")
+        .groupBy(key, "unit", "token")
         .agg(F.count("*").alias("tf"))
         .join(F.broadcast(idfs), "token", "left")
         .withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
     )
     tokens = stored(tokens, "tokens")
-    norms = tokens.groupBy(key, "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dots = tokens.join(F.broadcast(weights), "token").groupBy(key, "line", "number", "template").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, [key, "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("template").alias("t")))
-    return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.t").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    norms = tokens.groupBy(key, "unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.sum(F.col("value") * F.col("most")).alias("bound"))
+    norms = stored(norms.filter(F.col("bound") >= (least - 1e-6) * F.col("norm")).drop("bound"), "norms")
+    dots = tokens.join(norms.select(key, "unit"), [key, "unit"], "left_semi").join(F.broadcast(weights), "token").groupBy(key, "unit", "number", "template").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"), F.count_distinct("token").alias("shared"))
+    # One word alone, such as the German "mit", names no licence.
+    dots = dots.filter("shared > 1").drop("shared")
+    scored = dots.join(norms, [key, "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
+    by_unit = scored.groupBy(key, "unit", "template").agg(F.max("score").alias("score"))
+    by_license = by_unit.groupBy(key, "template").agg(F.max("score").alias("score"), F.round(F.sum("score"), 4).alias("total"))
+    best = F.min(F.struct((F.col("template") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), (-F.col("total")).alias("n"), F.col("template").alias("t")))
+    return by_license.groupBy(key).agg(best.alias("b")).select(key, F.col("b.t").alias("own_license"), (-F.col("b.s")).alias("own_score"))
 
 
 def _directory(path: Column) -> Column:

@@ -1,7 +1,9 @@
 import math
 import random
+import textwrap
 import zlib
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -187,6 +189,42 @@ def test_cosine_like_brute_force(spark):
     assert row.own_license == best[1] and row.own_score == pytest.approx(scores[best], abs=1e-5)
 
 
+def test_license_whole_headers_and_files(spark):
+    def text(name):
+        return (Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+
+    def wrapped(body, mark, width=60):
+        return "\n".join(f"{mark} {x}" for x in textwrap.wrap(body, width)) + "\nimport os\nprint(os.name)\n"
+
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    bsd = "Copyright (c) 2020, Some Body. All rights reserved. " + " ".join(text("BSD-3-Clause").split())
+    want = {
+        "rights": ("All rights reserved.", "Proprietary"), "among": ("some words\nmore words\nAll rights reserved.\nwords again", "Proprietary"),
+        "gpl": (wrapped(gpl, "#"), "GPL-3.0"), "gpl2": (wrapped(gpl.replace("version 3", "version 2"), "#"), "GPL-2.0"), "mpl": (wrapped(mpl, " *"), "MPL-2.0"), "bsd": (wrapped(bsd, "//"), "BSD-3-Clause"),
+        "spdx": ("# SPDX-License-Identifier: GPL-3.0-or-later\nx = 1", "GPL-3.0"), "spdx2": ("/* SPDX-License-Identifier: MIT */", "MIT"),
+        "both": ("# All rights reserved.\n\n" + wrapped("Licensed under the Apache License, Version 2.0.", "#"), "Apache-2.0"), "none": ("the cat was on all of it and is to be at home", None), "null": (None, None),
+    }
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC"):
+        want[f"full {name}"] = text(name), name
+        body = text(name).split("\n")
+        want[f"tail {name}"] = "\n".join(body[len(body) // 3 :]) if len(body) > 30 else text(name), name
+    files = spark.createDataFrame([(k, t) for k, (t, _) in want.items()], "path string, text string")
+    got = {r.path: r.own_license for r in license_scan(files, F.lit(False)).collect()}
+    assert got == {k: name for k, (_, name) in want.items()}
+
+
+def test_telling_tokens_lose_nothing():
+    rows, idf, other = licenses.template_weights(licenses.TEMPLATES)
+    telling = set(licenses.telling_tokens(rows, idf, licenses.LEAST))
+    left = {}
+    for number, _, token, weight in rows:
+        if token not in telling:
+            left[number] = left.get(number, 0.0) + weight * weight
+    assert max(left.values()) < licenses.LEAST**2
+    assert set(licenses.telling_tokens(rows, idf, 0.0)) == set(idf)
+
+
 # URL lists
 
 
