@@ -89,8 +89,11 @@ class TokenCache:
         The tokenizer lowers letters and never joins letters with points and
         commas, so plain texts are lowered and split there too: fewer runs are
         distinct. Beyond Latin-1, where lower() may look at neighbours and
-        characters may combine, texts stay as they are.
+        characters may combine, texts stay as they are. Special tokens are
+        matched on the raw text, so texts that may hold one are one run.
         """
+        if "<|" in text:
+            return [text]
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:

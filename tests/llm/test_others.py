@@ -85,6 +85,13 @@ def _cache(made=[]):  # noqa: B006
     return made[0]
 
 
+def test_special_tokens_keep_their_letters():
+    cache = TokenCache(PATH)
+    texts = ["a <|EndOfText|> b", "a <|endoftext|> b", "A <|STARTOFTEXT|>. b\nC", "<|", "x <| y"]
+    want = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert cache.encode(texts) == want
+
+
 # Mixing
 
 
