@@ -4,6 +4,13 @@ Rules vote 1 (good), -1 (bad) or 0 (abstain). The votes of a document are one
 pattern in base 3, so a table reduces to at most 3**rules pattern counts; the
 iterations run over those counts and thus over all documents, whatever their
 number. Only the pattern counts reach the driver.
+
+The model has two classes. The share of good documents and each rule's accuracy
+on good and on bad ones are estimated; an abstention says nothing. Weak Beta
+priors steady small inputs, and the only constraint is that a rule is no worse
+than chance: a vote for good never counts against a document and a vote for bad
+never for it. Iterations start at the priors' means, where about four votes for
+good outweigh one for bad.
 """
 
 from __future__ import annotations
@@ -14,6 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Means of the priors: the share of good documents, a rule's accuracy on good and on bad ones.
+PRIOR = (0.7, 0.95, 0.5)
+# Keeps logarithms finite; the priors keep estimates further from 0 and 1.
+EDGE = 1e-6
+
 
 @dataclass(frozen=True)
 class VoteModel:
@@ -45,33 +57,33 @@ def pattern(votes: list[Column]) -> Column:
     return code
 
 
-def fit_votes(
-    counted: DataFrame, rules: int, rounds: int = 200, good: float = 0.5, prior: float = 10.0, false_alarms: float = 0.01
-) -> VoteModel:
+def _at_least_chance(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Accuracies moved equally where both together are under one."""
+    lack = np.maximum(0.0, 1.0 - (good + bad)) / 2
+    return np.clip(good + lack, EDGE, 1 - EDGE), np.clip(bad + lack, EDGE, 1 - EDGE)
+
+
+def fit_votes(counted: DataFrame, rules: int, rounds: int = 1000, prior: float = 5.0) -> VoteModel:
     """Fit on rows (code, n): pattern codes with their counts.
 
-    ``good`` is the assumed class balance. Bad documents are of many kinds of
-    which one rule sees a few, so conditional independence holds only roughly
-    and free estimates would settle on one kind alone. Bounds keep to what the
-    rules mean: of good documents on which a rule votes it calls at most
-    ``false_alarms`` bad, of bad ones between a tenth and four tenths. Within
-    them a vote for good never counts against a document and a vote for bad
-    never for it. ``prior`` pseudo-documents steady small inputs; an empty
-    table gives the starting model.
+    ``prior`` is the weight of the priors in documents. An empty table gives
+    the priors' means.
     """
-    rows = [(r[0], r[1]) for r in counted.select("code", "n").collect()]
+    rows = sorted((r[0], r[1]) for r in counted.select("code", "n").collect())
     codes = np.array([r[0] for r in rows], dtype=np.int64)
     n = np.array([r[1] for r in rows], dtype=float)
     votes = np.stack([codes // 3 ** (rules - 1 - k) % 3 - 1 for k in range(rules)], axis=1)
-    up, down = votes == 1, votes == -1
-    right_good, right_bad = np.full(rules, 1 - false_alarms), np.full(rules, 0.25)
+    up, down = (votes == 1).astype(float), (votes == -1).astype(float)
+    good, right_good, right_bad = PRIOR[0], np.full(rules, PRIOR[1]), np.full(rules, PRIOR[2])
     for _ in range(rounds):
         odds = np.log(good / (1 - good)) + up @ np.log(right_good / (1 - right_bad)) + down @ np.log((1 - right_good) / right_bad)
         q = 1 / (1 + np.exp(-odds))
-        before = right_good, right_bad
         wg, wb = n * q, n * (1 - q)
-        right_good = np.clip((wg @ up + prior * (1 - false_alarms)) / (wg @ (up | down) + prior), 1 - false_alarms, 0.999)
-        right_bad = np.clip((wb @ down + prior * 0.25) / (wb @ (up | down) + prior), 0.1, 0.4)
-        if max(np.abs(right_good - before[0]).max(), np.abs(right_bad - before[1]).max()) < 1e-9:
+        before = np.concatenate([[good], right_good, right_bad])
+        good = float(np.clip((wg.sum() + prior * PRIOR[0]) / (n.sum() + prior), EDGE, 1 - EDGE))
+        right_good, right_bad = _at_least_chance(
+            (wg @ up + prior * PRIOR[1]) / (wg @ (up + down) + prior), (wb @ down + prior * PRIOR[2]) / (wb @ (up + down) + prior)
+        )
+        if np.abs(np.concatenate([[good], right_good, right_bad]) - before).max() < 1e-9:
             break
     return VoteModel(good, tuple(map(float, right_good)), tuple(map(float, right_bad)))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -64,21 +65,47 @@ def test_rules_columns_and_empty(docs_of):
     assert quality_rules(docs_of([])).count() == 0
 
 
-def test_votes_recover_accuracies(spark):
-    r = random.Random(5)
-    codes = {}
-    for _ in range(20000):
-        good, code = r.random() < 0.5, 0
-        for _ in range(5):
-            bad_vote = r.random() < (0.005 if good else 0.3)
-            code = code * 3 + (0 if bad_vote else 2)
+def _counted(spark, n, share, good, bad, seed=5):
+    """Patterns of votes drawn with these accuracies; a tenth of the votes are abstentions."""
+    r, codes = random.Random(seed), {}
+    for _ in range(n):
+        fine, code = r.random() < share, 0
+        for g, b in zip(good, bad, strict=True):
+            says = (r.random() < g) if fine else (r.random() >= b)
+            code = code * 3 + (1 if r.random() < 0.1 else 2 if says else 0)
         codes[code] = codes.get(code, 0) + 1
-    model = weak.fit_votes(spark.createDataFrame(list(codes.items()), "code int, n long"), 5)
-    assert all(abs(b - 0.3) < 0.05 for b in model.right_bad) and all(g >= 0.99 for g in model.right_good)
+    return spark.createDataFrame(sorted(codes.items()), "code int, n long")
+
+
+def test_votes_recover_accuracies(spark):
+    good, bad = (0.95, 0.9, 0.85, 0.8, 0.75, 0.6), (0.6, 0.7, 0.95, 0.8, 0.65, 0.9)
+    model = weak.fit_votes(_counted(spark, 60000, 0.8, good, bad), 6)
+    assert abs(model.good - 0.8) < 0.03
+    assert np.abs(np.subtract(model.right_good, good)).max() < 0.03 and np.abs(np.subtract(model.right_bad, bad)).max() < 0.06
+
+
+def test_votes_of_rare_alarms(spark):
+    model = weak.fit_votes(_counted(spark, 20000, 0.5, (0.995,) * 5, (0.6,) * 5), 5)
+    assert abs(model.good - 0.5) < 0.02
+    assert all(abs(b - 0.6) < 0.05 for b in model.right_bad) and all(g >= 0.985 for g in model.right_good)
     empty = weak.fit_votes(spark.createDataFrame([], "code int, n long"), 5)
     assert len(empty.right_bad) == 5 and all(up >= 0 >= down for up, down in empty.weights())
 
 
+def test_no_vote_counts_against_its_meaning(spark):
+    model = weak.fit_votes(_counted(spark, 5000, 0.7, (0.9, 0.8, 0.3, 0.85), (0.8, 0.9, 0.3, 0.8)), 4)
+    assert all(up >= -1e-9 and down <= 1e-9 for up, down in model.weights())
+
+
+def test_one_bad_vote_is_outvoted(docs_of):
+    rows = [(i, "The river is in the town and the mill is on the river. " + _clean(i)) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"{w}%%%" for w in _clean(i).split())) for i in range(30)]
+    rows += [(2000, "Ordnung muss sein. " + re.sub(r"n\d+", "light", _clean(7))), (2001, "The mill is old and so is the town by the river in the hills.")]
+    out = {r.doc_id: r.kept for r in quality_rules(docs_of(rows)).collect()}
+    # One has no function words for its length, the other is short: one vote for bad each.
+    assert all(out[i] for i in range(300)) and out[2000] and out[2001] and not any(out[1000 + i] for i in range(30))
+
+
 def test_classifier(corpus, docs_of):
     out = {r.doc_id: r for r in classify(corpus).collect()}
     assert np.mean([out[i].kept for i in range(60)]) == 1.0
@@ -90,7 +117,15 @@ def test_classifier(corpus, docs_of):
 
 
 def test_shapes():
-    assert [shape(w) for w in ("word", "Word", "WORD!!", "é", "x12", "a%%%")] == ["a", "a", "A!!", "a", "a0", "a%%%"]
+    assert [shape(w) for w in ("word", "Word", "WORD!!", "é", "x12", "a%%%", "An", "xYZ", "ab" * 50_000)] == ["a", "a", "A!!", "a", "a0", "a%%%", "a", "A", "a"]
+
+
+def test_shares_and_long_texts(docs_of):
+    assert quality_classifier.shares(Counter("a a a a b".split()), 5) == [4, 0, 0, 0, 0]
+    assert quality_classifier.shares(Counter(["x"] * 3 + [f"w{i}" for i in range(7)]), 10) == [0, 3, 0, 0, 0]
+    long = [(i, _clean(i)) for i in range(40)] + [(50, _clean(1, 4000)), (51, "x" * 200_000), (52, "spam " * 30_000), (52, "spam " * 30_000)]
+    out = {r.doc_id: r.score for r in classify(docs_of(long).withColumn("score", F.lit("old")).withColumn("label", F.lit(1))).collect()}
+    assert out[52] < 0.5 and all(0 <= x <= 1 for x in out.values())
 
 
 def test_fit_scorer_empty():
