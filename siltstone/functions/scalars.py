@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ TEST_PARTS = ("/test/", "/tests/", "__tests__")
 BLANKS = " \t\r\n\x0b\x0c\x85\xa0"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it.
+
+    The optimizer copies an expression to every place that names its column,
+    into lambda functions too, where it would run once for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extension(path: Column) -> Column:
     """What follows the last dot of the last path component; empty without one."""
     return F.regexp_extract(path, r"\.([^./]*)$", 1)

@@ -134,3 +134,15 @@ def chunk_documents(docs: DataFrame, key: str, text_col: str = "text", target: i
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select(key, text_col).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
+
+
+def paragraph_rows(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """Rows (key, paragraph, text, start_line, end_line) of all documents."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, i, b.text, b.first, b.last) for k, text in zip(frame[key], frame[text_col], strict=True) for i, b in enumerate(paragraphs((text or "").split("\n"), 1))]
+            yield pd.DataFrame(rows, columns=[key, "paragraph", "text", "start_line", "end_line"])
+
+    return docs.select(key, text_col).mapInPandas(run, f"{key} {kind}, paragraph int, text string, start_line int, end_line int")

@@ -3,7 +3,8 @@
 A query touches the corpus in two scans without shuffling documents: each
 document's tokens are matched in place, the first scan aggregates the corpus
 statistics of the query's phrases to one row, the second scores and keeps the
-best. An inverted index (``postings``) is there for many queries over one corpus.
+best. An inverted index (``postings``, kept in step with writes by
+``update_postings``) is there for many queries over one corpus.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.scalars import let
+
 # BM25 parameters and limits of the search.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DEFAULT_LIMIT, MAX_LIMIT = 15, 100
@@ -25,18 +28,33 @@ SNIPPET_TOKENS = 32
 _SEPARATORS = "[^\\p{L}\\p{N}]+"
 
 
+def _marked_letters() -> tuple[str, str]:
+    """Letters with one or more marks below U+2000, and the letters without them."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(code):
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _marked_letters()
+
+
 def fold_marks(text: Column) -> Column:
-    """The text without diacritics."""
+    """The text without diacritics: of letters that have them, and standing alone."""
+    return F.regexp_replace(F.translate(text, _MARKED, _BARE), "\\p{Mn}+", "")
 
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
 
-    return F.pandas_udf(fold, T.StringType())(text)
+def spaced(text: Column, fold: bool = True) -> Column:
+    """Lower-case runs of letters and digits, each between two blanks of its own."""
+    low = F.lower(fold_marks(text) if fold else text)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _SEPARATORS, "  ")), F.lit(" "))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), _SEPARATORS), lambda t: t != "")
+def tokens(text: Column, fold: bool = True) -> Column:
+    """Lower-case runs of letters and digits; ``fold`` removes diacritics, as for files (chunks keep theirs)."""
+    return F.filter(F.split(F.lower(fold_marks(text) if fold else text), _SEPARATORS), lambda t: t != "")
 
 
 @dataclass(frozen=True)
@@ -89,6 +107,13 @@ def _phrase(text: str, prefix: bool) -> Phrase | None:
     return Phrase(terms, prefix) if terms else None
 
 
+def _folded(phrase: Phrase, fold: bool) -> tuple[str, ...]:
+    if not fold:
+        return phrase.terms
+    bare = str.maketrans(_MARKED, _BARE)
+    return tuple("".join(c for c in t.translate(bare) if unicodedata.category(c) != "Mn") for t in phrase.terms)
+
+
 def _or(items: list):
     left, items = _and(items)
     while items and items[0] == "OR":
@@ -133,18 +158,14 @@ def phrases(tree: Node | Phrase) -> list[Phrase]:
     return list(dict.fromkeys(phrases(tree.left) + phrases(tree.right)))
 
 
-def occurrences(toks: Column, phrase: Phrase) -> Column:
-    """How often a phrase occurs in a token array."""
-    *fixed, last = phrase.terms
-
-    def here(token: Column, i: Column) -> Column:
-        out = F.lit(True)
-        for k, term in enumerate(fixed):
-            out = out & (F.get(toks, i + k) == term)
-        end = F.get(toks, i + len(fixed)) if fixed else token
-        return out & (end.startswith(last) if phrase.prefix else end == last)
+def occurrences(spaced_text: Column, phrase: Phrase, fold: bool = True) -> Column:
+    """How often a phrase occurs in a text that ``spaced`` has written.
 
-    return F.size(F.filter(toks, lambda token, i: F.coalesce(here(token, i), F.lit(False))))
+    Each token has blanks of its own, and of a hit only the first blank is
+    consumed, so hits that overlap count and the time is linear in the text.
+    """
+    body = "  ".join(map(re.escape, _folded(phrase, fold)))
+    return F.regexp_count(spaced_text, F.lit(f" (?={body}{'' if phrase.prefix else ' '})"))
 
 
 def _holds(tree: Node | Phrase, counts: dict[Phrase, Column]) -> Column:
@@ -159,29 +180,33 @@ def clamp_limit(limit: int | None) -> int:
     return limit if limit is not None and 1 <= limit <= MAX_LIMIT else DEFAULT_LIMIT
 
 
-def match(corpus: DataFrame, query: str, text_col: str = "text") -> DataFrame:
+def match(corpus: DataFrame, query: str, text_col: str = "text", fold: bool = True) -> DataFrame:
     """Rows whose text matches. Null texts aren't part of the corpus, empty ones are."""
     tree = parse_match(query)
-    toks = corpus.filter(F.col(text_col).isNotNull()).withColumn("__tokens", tokens(F.col(text_col)))
-    return toks.filter(_holds(tree, {p: occurrences(F.col("__tokens"), p) for p in phrases(tree)})).drop("__tokens")
+    holds = let(spaced(F.col(text_col), fold), lambda t: _holds(tree, {p: occurrences(t, p, fold) for p in phrases(tree)}))
+    return corpus.filter(F.col(text_col).isNotNull()).filter(holds)
 
 
-def bm25(corpus: DataFrame, query: str, text_col: str = "text") -> DataFrame:
+def bm25(corpus: DataFrame, query: str, text_col: str = "text", fold: bool = True) -> DataFrame:
     """Matching rows with ``score``, higher being better; statistics are those of the whole corpus."""
     tree = parse_match(query)
     every = phrases(tree)
-    names = [f"__tf{i}" for i in range(len(every))]
-    base = corpus.filter(F.col(text_col).isNotNull()).withColumn("__tokens", tokens(F.col(text_col)))
-    base = base.select("*", F.size("__tokens").alias("__dl"), *[occurrences(F.col("__tokens"), p).alias(n) for p, n in zip(every, names, strict=True)])
+    names = [f"tf{i}" for i in range(len(every))]
+
+    def counted(text: Column) -> Column:
+        length = F.regexp_count(text, F.lit(" (?=[^ ])")).alias("dl")
+        return F.struct(length, *[occurrences(text, p, fold).alias(n) for p, n in zip(every, names, strict=True)])
+
+    base = corpus.filter(F.col(text_col).isNotNull()).withColumn("__c", let(spaced(F.col(text_col), fold), counted))
     stats = base.agg(
-        F.count("*").alias("__n"), F.avg("__dl").alias("__avgdl"), *[F.sum((F.col(n) > 0).cast("long")).alias(f"{n}_df") for n in names]
+        F.count("*").alias("__n"), F.avg("__c.dl").alias("__avgdl"), *[F.sum((F.col(f"__c.{n}") > 0).cast("long")).alias(f"__df_{n}") for n in names]
     )
-    scored = base.filter(_holds(tree, {p: F.col(n) for p, n in zip(every, names, strict=True)})).join(F.broadcast(stats))
+    scored = base.filter(_holds(tree, {p: F.col(f"__c.{n}") for p, n in zip(every, names, strict=True)})).join(F.broadcast(stats))
     score = F.lit(0.0)
     for n in names:
-        df, tf = F.col(f"{n}_df"), F.col(n)
+        df, tf = F.col(f"__df_{n}"), F.col(f"__c.{n}")
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("__n") - df + 0.5) / (df + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.col("__avgdl")))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__c.dl") / F.col("__avgdl")))
     return scored.withColumn("score", score).select(*corpus.columns, "score")
 
 
@@ -191,21 +216,58 @@ def search(corpus: DataFrame, query: str, key: str, limit: int | None = None, wh
     return (found.filter(where) if where is not None else found).orderBy(F.desc("score"), key).limit(clamp_limit(limit))
 
 
-def postings(corpus: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """An inverted index: (key, term, tf, positions)."""
-    words = corpus.filter(F.col(text_col).isNotNull()).select(key, F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
+def postings(corpus: DataFrame, key: str, text_col: str = "text", fold: bool = True) -> DataFrame:
+    """An inverted index: (key, term, tf, positions). Null texts have no entries."""
+    words = corpus.filter(F.col(text_col).isNotNull()).select(key, F.posexplode(tokens(F.col(text_col), fold)).alias("pos", "term"))
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def update_postings(index: DataFrame, changed: DataFrame, removed: DataFrame, key: str, text_col: str = "text", fold: bool = True) -> DataFrame:
+    """The index after rows were written (``changed``) and deleted (``removed``, keys).
+
+    Entries of written and deleted keys go, then the written rows' new ones
+    come; a text that became null thus leaves the index.
+    """
+    gone = changed.select(key).unionByName(removed.select(key)).distinct()
+    return index.join(gone, key, "left_anti").select(*index.columns).unionByName(postings(changed, key, text_col, fold).select(*index.columns))
+
+
+def match_postings(index: DataFrame, query: str, key: str) -> DataFrame:
+    """Keys of the documents that match a phrase or conjunction of phrases, from the index alone.
+
+    A phrase joins its terms' entries by key and keeps those with positions in
+    a row, so only entries of the query's terms are read.
+    """
+    tree = parse_match(query)
+
+    def found(node: Node | Phrase) -> DataFrame:
+        if isinstance(node, Node):
+            left, right = found(node.left), found(node.right)
+            if node.kind == "or":
+                return left.unionByName(right).distinct()
+            return left.join(right, key, "left_semi" if node.kind == "and" else "left_anti")
+        terms = _folded(node, True)
+        out = None
+        for at, term in enumerate(terms):
+            last = node.prefix and at == len(terms) - 1
+            entries = index.filter(F.col("term").startswith(term) if last else F.col("term") == term)
+            places = entries.select(key, F.explode("positions").alias("__at")).select(key, (F.col("__at") - at).alias("__at"))
+            out = places if out is None else out.join(places, [key, "__at"], "left_semi")
+        return out.select(key).distinct()
+
+    return found(tree)
+
+
 def snippets(df: DataFrame, query: str, text_col: str = "text", start: str = "<mark>", end: str = "</mark>", gap: str = "...", size: int = SNIPPET_TOKENS) -> DataFrame:
     """The rows with ``snippet``: the window of ``size`` tokens with most distinct hits, marked."""
-    wanted = phrases(parse_match(query))
+    wanted = [Phrase(_folded(p, True), p.prefix) for p in phrases(parse_match(query))]
+    bare = str.maketrans(_MARKED, _BARE)
 
     def one(text: str | None) -> str | None:
         if text is None:
             return None
         spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
-        low = [text[a:b].lower() for a, b in spans]
+        low = [text[a:b].lower().translate(bare) for a, b in spans]
         hits: dict[int, int] = {}
         for p, phrase in enumerate(wanted):
             n = len(phrase.terms)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.inference import closure
+from siltstone.work import cut
 
 DEFAULT_DEPTH, MAX_DEPTH = 3, 6
 
@@ -73,17 +73,23 @@ def path(calls: DataFrame, start, end, depth: int | None = None, caller: str = "
     """
     if end is None:
         raise ValueError("a path needs a target to go to")
+    kind = calls.schema[caller].dataType
+    ends = calls.sparkSession.range(1).select(F.lit(start).cast(kind).alias("start"), F.lit(end).cast(kind).alias("end"))
+    return paths(calls, ends, depth, caller, callee).select("path")
+
+
+def paths(calls: DataFrame, ends: DataFrame, depth: int | None = None, caller: str = "caller", callee: str = "callee") -> DataFrame:
+    """(start, end, path) for each distinct pair of ``ends`` (start, end) that a path joins."""
     depth = checked_depth(depth)
     edges = calls.select(F.col(caller).alias("__from"), F.col(callee).alias("__to")).filter("__to is not null").distinct()
-    spark = calls.sparkSession
-    kind = calls.schema[caller].dataType
-    level = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("path"))
-    found = level.filter(F.col("node") == F.lit(end))
+    level = ends.select("start", "end").distinct().select("*", F.col("start").alias("node"), F.array("start").alias("path"))
+    found = level.filter(F.col("node") == F.col("end"))
     for _ in range(2, depth + 1):
         step = level.join(edges, F.col("node") == F.col("__from")).filter(~F.array_contains("path", F.col("__to")))
-        level = step.groupBy(F.col("__to").alias("node")).agg(F.min(F.concat("path", F.array("__to"))).alias("path"))
-        found = found.unionByName(level.filter(F.col("node") == F.lit(end)))
-    return found.orderBy(F.size("path"), "path").limit(1).select("path")
+        level = step.groupBy("start", "end", F.col("__to").alias("node")).agg(F.min(F.concat("path", F.array("__to"))).alias("path"))
+        found = found.unionByName(level.filter(F.col("node") == F.col("end")))
+    best = found.groupBy("start", "end").agg(F.min(F.struct(F.size("path").alias("n"), F.col("path").alias("path"))).alias("__best"))
+    return best.select("start", "end", F.col("__best.path").alias("path"))
 
 
 def path_nodes(paths: DataFrame, functions: DataFrame, function_id: str, columns: list[str]) -> DataFrame:
@@ -159,8 +165,59 @@ def unused(functions: DataFrame, calls: DataFrame, function_id: str, callee: str
 
 
 def circular(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Nodes on a cycle: those that reach themselves."""
-    return closure(edges, a, b).filter("a = b").select(F.col("a").alias("node"))
+    """Nodes on a cycle: those of strongly connected components with an edge inside.
+
+    Nodes without edges in or out are trimmed first. Then the largest node that
+    reaches a node becomes its colour, and what reaches a colour's node backwards
+    within the colour is its component; components leave and the rest goes on.
+    Nothing holds more rows than there are edges.
+    """
+    left = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").distinct())
+    loops = left.filter("a = b").select(F.col("a").alias("node"))
+    found, left = loops, cut(left.filter("a <> b"))
+    while True:
+        size = left.count()
+        while size:
+            inner = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+            inner = cut(inner.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            left, before, size = inner, size, inner.count()
+            if size == before:
+                break
+        if not size:
+            return found.distinct()
+        colour = cut(left.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            reached = left.join(colour.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("__c"))
+            stepped = colour.join(reached, "node", "left").select("node", F.greatest("colour", F.coalesce("__c", "colour")).alias("colour"), (F.col("__c") > F.col("colour")).alias("__moved"))
+            stepped = cut(stepped)
+            colour = stepped.select("node", "colour")
+            if stepped.filter("__moved").isEmpty():
+                break
+        inside = left.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").filter("ca = cb").select("a", "b", "ca")
+        inside = cut(inside)
+        members = cut(colour.filter("node = colour"))
+        while True:
+            back = inside.join(members.select(F.col("node").alias("b"), F.col("colour").alias("ca")), ["b", "ca"]).select(F.col("a").alias("node"), F.col("ca").alias("colour")).distinct()
+            new = cut(back.join(members, "node", "left_anti"))
+            if new.isEmpty():
+                break
+            members = cut(members.unionByName(new))
+        several = members.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
+        found = cut(found.unionByName(members.join(several, "colour", "left_semi").select("node")))
+        gone = members.select("node")
+        left = cut(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+
+
+def read_table(table: DataFrame, order: list[str], file_path: str | None = None, path_col: str = "file_path") -> DataFrame:
+    """A graph table (types, functions, calls or relationships) in order, of one file or of all."""
+    rows = table.filter(F.col(path_col) == file_path) if file_path is not None else table
+    return rows.orderBy(*order)
+
+
+def displayed(functions: DataFrame) -> DataFrame:
+    """Functions as nodes are shown: ``id`` is Receiver.name for methods, else the function's id; ``kind`` says which."""
+    shown = display_name(F.col("function_id"), F.col("name"), F.col("is_method"), F.col("receiver_type_name"))
+    return functions.withColumn("id", F.coalesce(shown, "function_id")).withColumn("kind", F.when(F.col("is_method"), "method").otherwise("function"))
 
 
 def graph_nodes(types: DataFrame, functions: DataFrame) -> DataFrame:

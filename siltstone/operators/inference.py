@@ -73,16 +73,14 @@ def strict_signatures(types: DataFrame, methods: DataFrame, kind: str, owner: st
     return methods.withColumnRenamed("type_id", owner).join(own, owner).select(owner, "name", F.struct("parameters", "returns").alias("signature"))
 
 
-def closure(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
-    """All pairs (a, b) joined by a path; cycles end by themselves."""
-    known = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    size = known.count()
-    for _ in range(rounds):
-        longer = known.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        known = cut(known.unionByName(longer).distinct())
-        if (now := known.count()) == size:
-            break
-        size = now
+def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """All pairs (a, b) joined by a path, level by level: each round extends only the pairs that the last one found."""
+    edges = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    known = frontier = edges
+    while not frontier.isEmpty():
+        longer = frontier.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
+        frontier = cut(longer.join(known, ["a", "b"], "left_anti"))
+        known = cut(known.unionByName(frontier))
     return known
 
 

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import functools
 import operator
-import struct
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.scalars import let
+
 DEFAULT_LIMIT, MAX_LIMIT = 15, 100
 DIMENSIONS = 384
 
@@ -52,7 +54,18 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """The unit vector; vectors of almost no length stay."""
-    return F.when(norm(a) > 1e-12, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(norm(a), lambda n: F.when(n > 1e-12, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double"))))
+
+
+def mean_pool(rows: DataFrame, keys: list[str], column: str = "embedding") -> DataFrame:
+    """One unit vector (keys, embedding) a group: the mean of its vectors, position by position, normalised.
+
+    Groups of any size are added up by position with partial sums.
+    """
+    places = rows.filter(F.col(column).isNotNull()).select(*keys, F.posexplode(column).alias("__i", "__x"))
+    means = places.groupBy(*keys, "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
+    pooled = means.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias("__v"))
+    return pooled.select(*keys, normalized(F.col("__v")).alias(column))
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -104,7 +117,7 @@ def encode_vector(values: Column) -> Column:
     """Little-endian 32-bit floats of a vector."""
 
     def encode(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: None if v is None else struct.pack(f"<{len(v)}f", *v))
+        return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
     return F.pandas_udf(encode, T.BinaryType())(values)
 
@@ -112,12 +125,12 @@ def encode_vector(values: Column) -> Column:
 def decode_vector(blob: Column) -> Column:
     """The inverse of encode_vector; lengths not divisible by four are errors."""
 
-    def one(data: bytes | None) -> list[float] | None:
+    def one(data: bytes | None) -> np.ndarray | None:
         if data is None:
             return None
         if len(data) % 4:
             raise ValueError(f"invalid vector of {len(data)} bytes")
-        return list(struct.unpack(f"<{len(data) // 4}f", data))
+        return np.frombuffer(data, dtype="<f4")
 
     def decode(blobs: pd.Series) -> pd.Series:
         return blobs.map(one)

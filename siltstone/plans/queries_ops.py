@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import formatting
 from siltstone.functions import scalars as sc
 from siltstone.operators import branches, chunking, fulltext, graph, inference, pattern, vector
 from siltstone.sources import extract, ingest
@@ -51,9 +52,9 @@ def discover_paths(spark, sf_dir):
     return ingest.classify_paths(_paths(_read(spark, sf_dir, "documents")).select("doc_id", "file_path"))
 
 
-@_query("SELECT doc_id, strpos(substr(text, 1, 100), ' ') > 0 AND doc_id % 4 = 0 AS is_binary FROM documents")
+@_query("SELECT doc_id, strpos(text, ' ') > 0 AND strlen(substr(text, 1, strpos(text, ' ') - 1)) < 512 AND doc_id % 4 = 0 AS is_binary FROM documents")
 def binary_sniff(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.regexp_replace(F.substring("text", 1, 100), " ", "\u0000"), F.lit("."))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.replace("text", F.lit(" "), F.lit("\u0000")), F.lit("."))).otherwise(F.col("text"))
     return _read(spark, sf_dir, "documents").select("doc_id", sc.is_binary(text.cast("binary")).alias("is_binary"))
 
 
@@ -211,10 +212,20 @@ def vec_filtered(spark, sf_dir):
     return vector.search(_read(spark, sf_dir, "embeddings"), _Q, "vec_id", 15, where).select("vec_id", "label")
 
 
-@_query("SELECT vec_id, round(embedding[1] / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first, 1.0 AS length FROM embeddings")
+_UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6))"
+
+
+@_query(f"SELECT vec_id, {_UNIT} AS unit FROM embeddings")
 def vec_normalize(spark, sf_dir):
     unit = vector.normalized(F.col("embedding"))
-    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(unit[0], 6).alias("first"), F.round(vector.norm(unit), 6).alias("length"))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
+
+
+@_query("""WITH p AS (SELECT label, i, AVG(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), v AS (SELECT label, list(m ORDER BY i) AS m FROM p GROUP BY label)
+    SELECT label, list_transform(m, lambda x: round(x / sqrt(list_inner_product(m, m)), 6)) AS pooled FROM v""")
+def vec_mean_pool(spark, sf_dir):
+    pooled = vector.mean_pool(_read(spark, sf_dir, "embeddings"), ["label"])
+    return pooled.select("label", F.transform("embedding", lambda x: F.round(x, 6)).alias("pooled"))
 
 
 @_query("SELECT COUNT(*) AS n, MAX(len(embedding)) AS dimensions FROM embeddings")
@@ -223,11 +234,11 @@ def vec_stats(spark, sf_dir):
 
 
 @_query(
-    "SELECT item_id, 384 AS dimensions, round(CAST(CAST(CAST('0x' || substr(sha256(text), 9, 8) AS BIGINT) AS FLOAT) / CAST(4294967296 AS FLOAT) * 2 - 1 AS DOUBLE), 4) AS second FROM benchmark"
+    "SELECT item_id, list_transform(range(384), lambda j: round(CAST(CAST(CAST('0x' || substr(sha256(text), CAST(8 * (j % 8) + 1 AS INT), 8) AS BIGINT) AS FLOAT) / CAST(4294967296 AS FLOAT) * 2 - 1 AS DOUBLE), 4)) AS vector FROM benchmark"
 )
 def embed_mock(spark, sf_dir):
     v = vector.mock_embedding(F.col("text"))
-    return _read(spark, sf_dir, "benchmark").select("item_id", F.size(v).alias("dimensions"), F.round(v[1].cast("double"), 4).alias("second"))
+    return _read(spark, sf_dir, "benchmark").select("item_id", F.transform(v, lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 
 @_query("SELECT vec_id, embedding FROM embeddings")
@@ -237,7 +248,7 @@ def vec_codec(spark, sf_dir):
 
 # Full text.
 
-_TOKS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_TOKS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _T = f"WITH t AS (SELECT doc_id, lang, source, text, {_TOKS} AS k FROM documents) "
 _HAS = "list_contains(k, '{}')"
 
@@ -252,10 +263,30 @@ def fts_tokens(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(toks).alias("n"), F.get(toks, F.lit(0)).alias("first"))
 
 
-@_query(_T + "SELECT doc_id, term, COUNT(*) AS tf, MIN(pos) AS first_pos FROM (SELECT doc_id, unnest(k) AS term, CAST(generate_subscripts(k, 1) - 1 AS INT) AS pos FROM t) GROUP BY doc_id, term")
+@_query(_T + "SELECT doc_id, term, COUNT(*) AS tf, list(pos ORDER BY pos) AS positions FROM (SELECT doc_id, unnest(k) AS term, CAST(generate_subscripts(k, 1) - 1 AS INT) AS pos FROM t) GROUP BY doc_id, term")
 def fts_postings(spark, sf_dir):
     index = fulltext.postings(_read(spark, sf_dir, "documents"), "doc_id")
-    return index.select("doc_id", "term", "tf", F.element_at("positions", 1).alias("first_pos"))
+    return index.select("doc_id", "term", "tf", "positions")
+
+
+_CHANGED = """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 15 = 0 THEN NULL ELSE text || ' Zebra' END ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3),
+    t AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS k FROM n WHERE text IS NOT NULL)
+    SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(k) AS term FROM t) GROUP BY doc_id, term"""
+
+
+@_query(_CHANGED)
+def fts_update(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = docs.filter("doc_id % 5 = 0").select("doc_id", F.when(F.col("doc_id") % 15 != 0, F.concat("text", F.lit(" Zebra"))).alias("text"))
+    removed = docs.filter("doc_id % 7 = 3").select("doc_id")
+    changed = changed.join(removed, "doc_id", "left_anti")
+    return fulltext.update_postings(fulltext.postings(docs, "doc_id"), changed, removed, "doc_id").select("doc_id", "term", "tf")
+
+
+@_query(_T + "SELECT doc_id FROM t WHERE ' ' || array_to_string(k, ' ') || ' ' LIKE '% of the %' OR list_contains(k, 'licensed')")
+def fts_index_match(spark, sf_dir):
+    index = fulltext.postings(_read(spark, sf_dir, "documents"), "doc_id")
+    return fulltext.match_postings(index, '"of the" OR licensed', "doc_id")
 
 
 @_query(_T + "SELECT doc_id FROM t WHERE " + _HAS.format("licensed"))
@@ -297,6 +328,14 @@ _BM = (
 )
 
 
+@_query(
+    _BM.replace("lambda x: x = 'version')", "lambda x, i: x = 'of' AND k[i + 1] = 'the')") + "SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20"
+)
+def fts_bm25_phrase(spark, sf_dir):
+    found = fulltext.search(_read(spark, sf_dir, "documents"), 'licensed OR "of the"', "doc_id", 20)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @_query(_BM + "SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20")
 def fts_bm25(spark, sf_dir):
     found = fulltext.search(_read(spark, sf_dir, "documents"), "licensed OR version", "doc_id", 20)
@@ -325,12 +364,11 @@ def fts_snippet(spark, sf_dir):
 
 # Call graph.
 
-_CALLS = "calls AS (SELECT DISTINCT o_custkey AS caller, l_suppkey AS callee FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND l_quantity >= 45)"
+_CALLS = "calls AS (SELECT DISTINCT o_custkey AS caller, l_suppkey AS callee FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_quantity >= 45")
-    joined = _read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(F.col("o_custkey").alias("caller"), F.col("l_suppkey").alias("callee")).distinct()
 
 
@@ -387,22 +425,20 @@ def graph_dependencies(spark, sf_dir):
     return graph.dependencies(*_imports(spark, sf_dir), "m1")
 
 
-@_query(f"SELECT DISTINCT file_path, module_path, import_line FROM ({_IMPORTS}) WHERE import_path = (SELECT MIN(r_name) FROM region)")
+@_query(f"SELECT DISTINCT file_path, module_path, import_line FROM ({_IMPORTS}) WHERE import_path = 'AFRICA'")
 def graph_dependents(spark, sf_dir):
-    first = _read(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
-    return graph.dependents(*_imports(spark, sf_dir), first)
+    return graph.dependents(*_imports(spark, sf_dir), "AFRICA")
 
 
-@_query(f"SELECT DISTINCT file_path, module_path, import_line FROM ({_IMPORTS}) WHERE file_path ILIKE '%a%' AND NOT file_path ILIKE 'a%' AND import_path = (SELECT MIN(r_name) FROM region)")
+@_query(f"SELECT DISTINCT file_path, module_path, import_line FROM ({_IMPORTS}) WHERE file_path ILIKE '%a%' AND NOT file_path ILIKE 'a%' AND import_path = 'AFRICA'")
 def graph_scope(spark, sf_dir):
-    first = _read(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
-    return graph.scoped(graph.dependents(*_imports(spark, sf_dir), first), "file_path", "%a%", ["a%"])
+    return graph.scoped(graph.dependents(*_imports(spark, sf_dir), "AFRICA"), "file_path", "%a%", ["a%"])
 
 
-@_query("SELECT o_orderkey AS function_id, o_orderstatus AS name FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag ILIKE 'r%' AND l_quantity > 48)")
+@_query("SELECT o_orderkey AS function_id, o_orderstatus AS name FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag ILIKE 'r%')")
 def graph_type_usages(spark, sf_dir):
     functions = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("function_id"), F.col("o_orderstatus").alias("name"))
-    parameters = _read(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("function_id"), F.col("l_returnflag").alias("param_type"))
+    parameters = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("function_id"), F.col("l_returnflag").alias("param_type"))
     return graph.type_usages(functions, parameters, "r%")
 
 
@@ -429,9 +465,9 @@ _HOPS = " UNION ALL ".join(
 def graph_path(spark, sf_dir):
     calls = _calls(spark, sf_dir)
     second = calls.join(calls.select(F.col("caller").alias("callee"), F.col("callee").alias("next")), "callee")
-    start = second.agg(F.min("caller")).first()[0]
-    stop = second.filter(F.col("caller") == start).agg(F.max("next")).first()[0]
-    return graph.path(calls, start, stop, 4)
+    # One row: of the first caller the last of its second callees.
+    ends = second.groupBy(F.col("caller").alias("start")).agg(F.max("next").alias("end")).orderBy("start").limit(1)
+    return graph.paths(calls, ends, 4).select("path")
 
 
 @_query(f"WITH {_CALLS}, {_ENDS}, hops AS ({_HOPS}), p AS (SELECT path FROM hops ORDER BY n, path LIMIT 1), u AS (SELECT unnest(path) AS c_custkey, generate_subscripts(path, 1) - 1 AS position FROM p) SELECT CAST(position AS INT) AS position, c_custkey, c_name FROM u JOIN customer USING (c_custkey)")
@@ -468,10 +504,12 @@ def graph_unused(spark, sf_dir):
     return graph.unused(_read(spark, sf_dir, "customer").select("c_custkey"), _calls(spark, sf_dir), "c_custkey")
 
 
-@_query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation WHERE n_nationkey % 4 <> 2), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node FROM c WHERE a = b")
+@_query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * n_nationkey + 1) % 25 AS b FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS node FROM c WHERE a = b")
 def graph_circular(spark, sf_dir):
-    edges = _read(spark, sf_dir, "nation").filter("n_nationkey % 4 <> 2").select(F.col("n_nationkey").alias("a"), F.expr("(n_nationkey * 3 + 1) % 25").alias("b"))
-    return graph.circular(edges, "a", "b")
+    nation = _read(spark, sf_dir, "nation")
+    edges = nation.select(F.col("n_nationkey").cast("long").alias("a"), F.expr("cast((n_nationkey * n_nationkey + 1) % 25 as long)").alias("b"))
+    regions = nation.select(F.col("n_nationkey").cast("long").alias("a"), F.col("n_regionkey").cast("long").alias("b"))
+    return graph.circular(edges.unionByName(regions), "a", "b")
 
 
 def _types_functions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -500,27 +538,36 @@ def dedup_nodes(spark, sf_dir):
     return graph.dedup_nodes(events, "user_id", "is_test", "event_id")
 
 
-# Interfaces: customers up to 5, and every customer is a struct; methods are order priorities.
+# Customers are structs whose methods are their orders' priorities. Nations are interfaces: nation n
+# asks for the priorities numbered up to n % 6, so some have no method and every struct meets them.
 
 _METHODS = "SELECT DISTINCT o_custkey, o_orderpriority AS name FROM orders"
-_DIVIDED = f"""WITH m AS ({_METHODS}), i AS (SELECT * FROM m WHERE o_custkey <= 5), need AS (SELECT o_custkey, COUNT(*) AS n FROM i GROUP BY o_custkey)
-    SELECT m.o_custkey AS struct, i.o_custkey AS iface FROM m JOIN i ON m.name = i.name JOIN need ON need.o_custkey = i.o_custkey GROUP BY ALL HAVING COUNT(*) = MAX(need.n)"""
+_WANTED = "SELECT n_nationkey AS iface, name FROM nation JOIN (SELECT DISTINCT o_orderpriority AS name FROM orders) ON CAST(substr(name, 1, 1) AS INT) <= n_nationkey % 6"
+_DIVIDED = f"""WITH m AS ({_METHODS}), i AS ({_WANTED}), need AS (SELECT iface, COUNT(*) AS n FROM i GROUP BY iface)
+    SELECT m.o_custkey AS struct, i.iface AS iface FROM m JOIN i ON m.name = i.name JOIN need ON need.iface = i.iface GROUP BY ALL HAVING COUNT(*) = MAX(need.n)"""
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(iface, name): the methods that each nation asks for."""
+    names = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name")).distinct()
+    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("iface"), F.explode(F.expr("sequence(0, n_nationkey % 6)")).alias("nth"))
+    return nations.join(names, F.col("nth") == F.substring("name", 1, 1).cast("int")).select("iface", "name")
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     customers, orders = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
-    interfaces = customers.filter("c_custkey <= 5").select(F.concat(F.lit("i"), "c_custkey").alias("type_id"), F.lit("interface").alias("kind"))
+    interfaces = _read(spark, sf_dir, "nation").select(F.concat(F.lit("i"), "n_nationkey").alias("type_id"), F.lit("interface").alias("kind"))
     structs = customers.select(F.concat(F.lit("s"), "c_custkey").alias("type_id"), F.lit("struct").alias("kind"))
     methods = orders.select("o_custkey", F.col("o_orderpriority").alias("name")).distinct()
-    fields = methods.filter("o_custkey <= 5").select(
-        F.concat(F.lit("i"), "o_custkey").alias("type_id"), "name", F.lit("").alias("field_type"), F.lit(True).alias("is_method"), F.lit(1).alias("param_count"), F.lit(None).cast("int").alias("return_count"), F.col("name").alias("field_id")
+    fields = _wanted(spark, sf_dir).select(
+        F.concat(F.lit("i"), "iface").alias("type_id"), "name", F.lit("").alias("field_type"), F.lit(True).alias("is_method"), F.lit(1).alias("param_count"), F.lit(None).cast("int").alias("return_count"), F.col("name").alias("field_id")
     )
     functions = methods.select(F.concat(F.lit("s"), "o_custkey").alias("receiver_type_id"), "name", F.lit(1).alias("param_count"), F.lit(0).alias("return_count"), F.col("name").alias("function_id"))
     return interfaces.unionByName(structs), fields, functions
 
 
 _IMPLEMENTS = f"""SELECT 's' || struct AS from_type_id, 'i' || iface AS to_type_id, 'implements' AS relationship_type FROM ({_DIVIDED})
-    UNION ALL SELECT 's' || s.c_custkey, 'i' || i.c_custkey, 'implements' FROM customer s, customer i WHERE i.c_custkey <= 5 AND i.c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+    UNION ALL SELECT 's' || c_custkey, 'i' || n_nationkey, 'implements' FROM customer, nation WHERE n_nationkey % 6 = 0"""
 
 
 @_query(_IMPLEMENTS)
@@ -532,7 +579,7 @@ def infer_implements(spark, sf_dir):
 def infer_implements_strict(spark, sf_dir):
     signature = F.struct(F.array(F.lit("int"), F.lit("string")).alias("parameters"), F.array(F.lit("error")).alias("returns"))
     methods = _read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("name"), signature.alias("signature"))
-    wanted = methods.filter("o_custkey <= 5").withColumnRenamed("o_custkey", "iface")
+    wanted = _wanted(spark, sf_dir).withColumn("signature", signature)
     return inference.divide(wanted, methods.withColumnRenamed("o_custkey", "struct"), "iface", "struct", ["name", "signature"])
 
 
@@ -542,7 +589,7 @@ def infer_incremental(spark, sf_dir):
     return inference.infer_incremental(*_model(spark, sf_dir), changed)
 
 
-@_query("SELECT type_id, COALESCE(n, 0) AS n FROM (SELECT 'i' || c_custkey AS type_id, c_custkey FROM customer WHERE c_custkey <= 5) LEFT JOIN (SELECT o_custkey, COUNT(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+@_query(f"SELECT 'i' || n_nationkey AS type_id, COUNT(name) AS n FROM nation LEFT JOIN ({_WANTED}) ON iface = n_nationkey GROUP BY n_nationkey")
 def infer_interfaces(spark, sf_dir):
     types, fields, _ = _model(spark, sf_dir)
     joined = types.filter("kind = 'interface'").join(fields.filter("is_method").select("type_id", "name"), "type_id", "left")
@@ -656,8 +703,8 @@ def evict_lru(spark, sf_dir):
     rows = events.groupBy("user_id").agg(F.sum("value").alias("size_mb"), F.max("ts").alias("last_accessed")).select(
         F.col("user_id").cast("string").alias("branch"), "size_mb", "last_accessed", (F.col("user_id") % 17 == 0).alias("is_immortal"), (F.col("user_id") % 13 == 0).alias("is_deleted")
     )
-    bounds = events.agg(F.max("ts"), F.sum("value") / 3).first()
-    return branches.evict(rows, bounds[0], None, 20, bounds[1]).select("branch", "reason")
+    bounds = events.agg(F.max("ts").alias("now"), (F.sum("value") / 3).alias("most"))
+    return branches.evict(rows.join(F.broadcast(bounds)), F.col("now"), None, 20, F.col("most")).select("branch", "reason")
 
 
 @_query("SELECT source, COUNT(*) AS n_files, CAST(SUM(n_chars) AS BIGINT) AS n_chars, CAST(SUM(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS n_english FROM documents GROUP BY source")
@@ -674,31 +721,73 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("body"))
     sections = sections.select("conv_id", F.concat(F.lit("## conv "), "conv_id", F.lit("\n\n"), "body").alias("section"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "section"))), lambda x: x["section"]), "\n")
-    return sections.groupBy((F.col("conv_id") % 10).alias("file_path")).agg(joined.alias("text"))
+    return sections.groupBy(F.expr("conv_id div 10").alias("file_path")).agg(joined.alias("text"))
+
+
+# The same cutting in SQL: paragraphs of a section, the sentences of those beyond the target, and a walk over
+# both that begins a chunk where kind, long paragraph or size changes. The texts hold no blank lines and no fences.
+_SPLIT = "list_filter(list_transform(regexp_split_to_array(p, '[.!?]+[ \\t\\n\\f\\r]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+_WALK = """, items AS (SELECT file, section, unnest(CASE WHEN strlen(p) // 4 > {t} THEN {split} ELSE [p] END) AS item, generate_subscripts(CASE WHEN strlen(p) // 4 > {t} THEN {split} ELSE [p] END, 1) AS k,
+        j, strlen(p) // 4 > {t} AS long, line, line + len(string_split(p, chr(10))) - 1 AS last FROM paragraphs),
+    ordered AS (SELECT *, strlen(item) // 4 AS size, row_number() OVER (PARTITION BY file, section ORDER BY j, k) AS i FROM items),
+    walk AS (SELECT file, section, i, j, long, item, line, last, 0 AS chunk, size AS total FROM ordered WHERE i = 1
+        UNION ALL SELECT o.file, o.section, o.i, o.j, o.long, o.item, o.line, o.last,
+            CASE WHEN o.long <> w.long OR (o.long AND o.j <> w.j) OR (w.total > 0 AND w.total + o.size > {t}) THEN w.chunk + 1 ELSE w.chunk END,
+            CASE WHEN o.long <> w.long OR (o.long AND o.j <> w.j) OR (w.total > 0 AND w.total + o.size > {t}) THEN o.size ELSE w.total + o.size END
+        FROM walk w JOIN ordered o ON o.file = w.file AND o.section = w.section AND o.i = w.i + 1),
+    chunks AS (SELECT file, section, chunk, CASE WHEN long THEN string_agg(item, ' ' ORDER BY i) ELSE string_agg(item, E'\\n\\n' ORDER BY i) END AS text, MIN(line) AS start_line, MAX(last) AS end_line, long AS is_large, long AS is_split FROM walk GROUP BY file, section, chunk, long)"""
+_PACKED = (
+    """WITH RECURSIVE turns AS (SELECT conv_id // 10 AS file, conv_id, turn, text AS p FROM conversations UNION ALL SELECT DISTINCT conv_id // 10, conv_id, -1, '## conv ' || conv_id FROM conversations),
+    placed AS (SELECT *, len(string_split(p, chr(10))) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS j FROM turns),
+    lined AS (SELECT *, SUM(n + CASE WHEN nxt IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (n + CASE WHEN nxt IS NULL THEN 0 ELSE 1 END) + 1 AS line,
+        dense_rank() OVER (PARTITION BY file ORDER BY conv_id) - 1 AS section FROM (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM placed)),
+    whole AS (SELECT file, section, string_agg(p, E'\\n\\n' ORDER BY turn) AS text, MIN(line) AS line, MAX(line + n - 1) AS last FROM lined GROUP BY file, section),
+    paragraphs AS (SELECT l.file, l.section, l.p, l.j, CAST(l.line AS BIGINT) AS line FROM lined l JOIN whole w ON l.file = w.file AND l.section = w.section WHERE strlen(w.text) // 4 > 200)"""
+    + _WALK.format(t=200, split=_SPLIT)
+    + """, every AS (SELECT * FROM chunks UNION ALL SELECT file, section, 0, trim(text, ' ' || chr(9) || chr(10) || chr(13)), line, last, false, false FROM whole WHERE strlen(text) // 4 <= 200)
+    """
+)
 
 
-@_query("SELECT conv_id % 10 AS file_path, COUNT(DISTINCT conv_id) AS sections FROM conversations GROUP BY conv_id % 10")
+@_query("SELECT conv_id // 10 AS file_path, COUNT(DISTINCT conv_id) AS sections FROM conversations GROUP BY conv_id // 10")
 def chunk_sections(spark, sf_dir):
     chunks = chunking.chunk_documents(_markdown(spark, sf_dir), "file_path", target=200)
     return chunks.groupBy("file_path").agg(F.count_distinct("section").alias("sections"))
 
 
-@_query()
+@_query(_PACKED + "SELECT file AS file_path, CAST(section AS INT) AS section, CAST(chunk AS INT) AS chunk, text, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, is_large, is_split FROM every")
 def chunk_pack(spark, sf_dir):
     return chunking.chunk_documents(_markdown(spark, sf_dir), "file_path", target=200)
 
 
-@_query()
+@_query(
+    """WITH RECURSIVE d AS (SELECT doc_id AS file, 0 AS section, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS p, text, 1 AS j, CAST(1 AS BIGINT) AS line FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+    paragraphs AS (SELECT file, section, p, j, line FROM d WHERE strlen(text) // 4 > 800)"""
+    + _WALK.format(t=800, split=_SPLIT)
+    + """, every AS (SELECT * FROM chunks UNION ALL SELECT file, section, 0, p, line, len(string_split(text, chr(10))), false, false FROM d WHERE strlen(text) // 4 <= 800)
+    SELECT file AS doc_id, CAST(section AS INT) AS section, CAST(chunk AS INT) AS chunk, text, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, is_large, is_split FROM every"""
+)
 def chunk_sentences(spark, sf_dir):
     return chunking.chunk_documents(_read(spark, sf_dir, "documents"), "doc_id")
 
 
-@_query()
+@_query(_PACKED + "SELECT 'doc-' || file || '-s' || section || CASE WHEN is_split OR chunk > 0 THEN '-c' || chunk ELSE '' END AS chunk_id, 'documentation' AS chunk_type, text FROM every")
 def assemble_chunks(spark, sf_dir):
     chunks = chunking.chunk_documents(_markdown(spark, sf_dir), "file_path", target=200)
     return ingest.document_chunks(chunks).select("chunk_id", "chunk_type", "text")
 
 
+@_query("""WITH f AS (SELECT conv_id, list(CASE WHEN turn % 3 = 0 THEN '```' || chr(10) || text || chr(10) || chr(10) || 'end' || chr(10) || '```' ELSE text END ORDER BY turn) AS ps FROM conversations GROUP BY conv_id),
+    e AS (SELECT conv_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM f),
+    l AS (SELECT conv_id, k, p, len(string_split(p, chr(10))) AS n FROM e)
+    -- What follows a fence begins at the line behind it.
+    SELECT conv_id, CAST(k - 1 AS INT) AS paragraph, p AS text, CAST(SUM(n + 1) OVER w - n - CASE WHEN lag(starts_with(p, '```')) OVER w AND NOT starts_with(p, '```') THEN 1 ELSE 0 END AS INT) AS start_line, CAST(SUM(n + 1) OVER w - 1 AS INT) AS end_line FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY k)""")
+def chunk_paragraphs(spark, sf_dir):
+    fenced = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```\n"), "text", F.lit("\n\nend\n```"))).otherwise(F.col("text"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", fenced.alias("text")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return chunking.paragraph_rows(turns.select("conv_id", F.array_join("t.text", "\n\n").alias("text")), "conv_id")
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python files made of parts: a class with a method, a function and a constant each."""
     name = F.concat(F.lit("P"), "p_partkey")
@@ -706,10 +795,31 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select(F.concat(F.lit("pkg/p"), "p_partkey", F.lit(".py")).alias("file_path"), code.alias("content"), F.lit("python").alias("language"))
 
 
-@_query("SELECT 'pkg/p' || p_partkey || '.py' AS file_path, 'SIZE = ' || p_size AS data FROM part")
+_PY_TIERS = """SELECT 'pkg/p' || p_partkey || '.py' AS file_path, 'python' AS language,
+    'Imports: 1 packages' || chr(10) || chr(10) || 'Types:' || chr(10) || '  - P' || p_partkey || ' (class) (lines 4-6)' || chr(10) || chr(10) || 'Functions:' || chr(10) || '  - P' || p_partkey || '.price(self, n: int) (lines 5-6)' || chr(10) || '  - make(a, b) (lines 8-9)' AS symbols,
+    '// (lines 4-6)' || chr(10) || 'class P' || p_partkey || ':' || chr(10) || chr(10) || '// (lines 5-6)' || chr(10) || '    def price(self, n: int) -> float:' || chr(10) || chr(10) || '// (lines 8-9)' || chr(10) || 'def make(a, b):' AS definitions,
+    '// (line 2)' || chr(10) || 'SIZE = ' || p_size AS data FROM part"""
+
+
+@_query(_PY_TIERS)
 def extract_python(spark, sf_dir):
-    tiers = extract.extract_tiers(_sources(spark, sf_dir))
-    return tiers.select("file_path", F.substring_index("data", "\n", -1).alias("data"))
+    return extract.extract_tiers(_sources(spark, sf_dir))
+
+
+@_query("""SELECT p_partkey, 'Package: p' || p_size || chr(10) || chr(10) || 'Types:' || chr(10) || '  - ' || p_brand || ' (struct) (lines ' || p_size || '-' || (p_size + 3) || ')' AS symbols,
+    '// (line ' || p_size || ')' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'const Max int = 6' WHEN 1 THEN 'MAX = 6' ELSE 'const MAX = 6' END || chr(10) || chr(10) || '// (line 9)' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'var n = 1' WHEN 1 THEN 'n = 1' ELSE 'let n = 1' END AS data FROM part""")
+def format_symbols(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    language = F.when(k == 0, "go").when(k == 1, "python").otherwise("typescript")
+    span = F.struct(F.col("p_brand").alias("name"), F.lit("struct").alias("kind"), F.col("p_size").cast("int").alias("start_line"), (F.col("p_size") + 3).cast("int").alias("end_line"))
+    constant = F.struct(F.when(k == 0, "Max").otherwise("MAX").alias("name"), F.when(k == 0, "int").otherwise("").alias("type"), F.lit("6").alias("value"), F.col("p_size").cast("int").alias("start_line"), F.col("p_size").cast("int").alias("end_line"))
+    variable = F.struct(F.lit("n").alias("name"), F.lit("").alias("type"), F.lit("1").alias("value"), F.lit(9).alias("start_line"), F.lit(9).alias("end_line"))
+    none = F.array().cast("array<struct<signature:string,name:string,start_line:int,end_line:int>>")
+    return _read(spark, sf_dir, "part").select(
+        "p_partkey",
+        formatting.symbols_text(F.concat(F.lit("p"), "p_size"), F.lit(0), F.array(span), none).alias("symbols"),
+        formatting.data_text(F.array(constant), F.array(variable), language).alias("data"),
+    )
 
 
 @_query("SELECT record, CAST(n * (SELECT COUNT(*) FROM part) AS BIGINT) AS n FROM (VALUES ('call', 2), ('function', 2), ('import', 1), ('param', 4), ('return', 1), ('type', 1)) v(record, n)")
@@ -717,6 +827,20 @@ def extract_graph(spark, sf_dir):
     return extract.extract_graph(_sources(spark, sf_dir)).groupBy("record").agg(F.count("*").alias("n"))
 
 
+@_query("SELECT 'fields' AS kind, c_custkey AS id, c_nationkey AS place FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'all', s_suppkey, s_nationkey FROM supplier")
+def graph_tables(spark, sf_dir):
+    types = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("file_path"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("place"), F.lit("fields").alias("kind"))
+    functions = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("file_path"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("place"), F.lit("all").alias("kind"))
+    some = graph.read_table(types, ["place", "id"], "BUILDING").select("kind", "id", "place")
+    return some.unionByName(graph.read_table(functions, ["place", "id"]).select("kind", "id", "place"))
+
+
+@_query("SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'n' || s_nationkey || '.' || s_name ELSE 'f' || s_suppkey END AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'method' ELSE 'function' END AS kind FROM supplier")
+def node_display(spark, sf_dir):
+    functions = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("function_id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("is_method"), F.concat(F.lit("n"), "s_nationkey").alias("receiver_type_name"))
+    return graph.displayed(functions).select("id", "kind")
+
+
 def _go_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("P"), "p_partkey")
     code = F.concat(F.lit('package parts\n\nimport "fmt"\n\ntype '), name, F.lit(" struct {\n\tSize int\n\tBase\n}\n\nfunc (p *"), name, F.lit(") Price(n int, c Currency) (float64, error) {\n\treturn fmt.Cost(n)\n}\n"))

@@ -8,9 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the cluster (a temporary one where none is set)."""
+    """Checkpoint to the shared folder of the cluster.
+
+    Where none is set a local session uses a temporary folder; on a cluster,
+    whose executors couldn't see it, that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (context.master or "").startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
