@@ -1,27 +1,30 @@
 """Licence detection by TF-IDF cosine to templates, with directory inheritance.
 
-Templates are notices, SPDX lines, and the headers and paragraphs of full
-licence texts. A file is compared to each in every unit of its text: each
-line, each block of adjacent lines, each comment with its blocks, and the whole
-text, by the cosine of sparse TF-IDF vectors: tokens join the templates'
-weights, and sums by (file, unit, template) give the products. The best template at or above the
-threshold is the file's own licence. Files without one inherit from the
-licence file in their nearest ancestor directory: distinct directories are
-expanded to their ancestors and joined to the directories that hold licence
-files, and the deepest match wins.
-
-Units are left out only where no template can reach the threshold: by
-Cauchy-Schwarz a unit must share tokens that hold ``least`` squared of a
-template's squared weight, so it must have one of the template's telling
-tokens; and bounds on the product by the largest weight of each token over
-all templates must reach it. A unit that shares one word alone names no licence.
+Templates are notices, SPDX lines, headers and full licence texts. A file is
+compared to each in every unit of its text: each line, each block of adjacent
+lines, each comment with its blocks, and the whole text, by the cosine of
+sparse TF-IDF vectors without ordinary words (term frequencies count as
+1 + ln n): tokens join the templates' weights, and sums by (file, unit,
+template) give the products. The best template at or above the threshold is
+the file's own licence. Files without one inherit from the licence file in
+their nearest ancestor directory: distinct directories are expanded to their
+ancestors and joined to the directories that hold licence files, and the
+deepest match wins.
+
+Files and units are left out only where no template can reach the threshold.
+By Cauchy-Schwarz a unit must share tokens that hold ``least`` squared of a
+template's squared weight, so its file must have one of the template's telling
+tokens; and at least that share of the unit's own squared weight must lie on
+tokens that templates know. A unit that shares one word alone names no licence.
 
 Cases: null texts and paths have no licence and inherit none (null path) or
 by their path. A bare reservation of rights gives way to any licence. Ties
-between licences go to the one with the larger sum over the file's units (a
-paragraph that GPL-2.0 and GPL-3.0 share decides nothing), then to the name
-that sorts first; ties between licence files of a directory go to the path that sorts first. Repeated rows are
-judged each. Empty tables work. Columns named like the result's are replaced.
+between licences go to the one with the larger sum over the file's units, then
+to the name that sorts first; ties between licence files of a directory go to
+the path that sorts first. Repeated rows are judged each. Empty tables work.
+Columns named like the result's are replaced. Very long texts take time in
+proportion to their length, very deep paths to their depth times the number of
+distinct directories.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._bloom import bloom, flagged
 from siltstone.llm._work import matched, stored
 
 TEMPLATES = [
@@ -53,7 +56,7 @@ TEMPLATES = [
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
     ("Proprietary", "All rights reserved."),
 ]
-# Words of any English text; they are the last to be telling tokens.
+# Words of any English text, which say nothing here.
 _ORDINARY = set(
     "a about after all also an and are as at be been best but by can de do first for from had has have he her here his how i if in into is it its just like made make me more most my new no not of on one only or our "
     "out over own she so some such take than that the their them then there these they this those time to too two up us very was way we well were what when where which while who will with would".split()
@@ -61,10 +64,6 @@ _ORDINARY = set(
 # SPDX identifiers by name; GPL and its kin have two forms each.
 _SPDX = ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "ISC", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib"]
 _SPDX_GNU = ["AGPL-3.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0"]
-# Paragraphs of fewer words, as headings are, stand in texts that aren't licences.
-_LEAST_WORDS = 12
-# Of these the first paragraph names the licence; the others begin with their terms or a general title.
-_TITLED = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
 _BLANKS = "\\n[^A-Za-z0-9]*\\n"
 _COMMENT = "[ \\t]*(?:#|//|/\\*|\\*|--|;|%)"
 
@@ -101,20 +100,15 @@ def _headers() -> list[tuple[str, str]]:
 
 
 def _full_texts() -> list[tuple[str, str]]:
-    """The paragraphs of full licence texts, and the short texts whole."""
-    found = []
-    for file in sorted(resources.files("siltstone.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
-        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
-        blocks = [b for b in re.split(_BLANKS, text) if re.search("[A-Za-z0-9]", b)]
-        found += [(name, b) for i, b in enumerate(blocks) if len(b.split()) >= _LEAST_WORDS or i == 0 and name in _TITLED]
-        if len(text) < 3000:
-            found.append((name, text))
-    return found
+    """Full licence texts."""
+    files = sorted(resources.files("siltstone.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name)
+    return [(file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")) for file in files]
 
 
 TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in _SPDX]
 TEMPLATES += [(name, f"SPDX-License-Identifier: {name}{end}") for name in _SPDX_GNU for end in ("", "-only", "-or-later")]
 TEMPLATES += _headers()
+TEMPLATES += _full_texts()
 LEAST = 0.6
 _TOKEN = "[^a-z0-9]+"
 RESULT = ["own_license", "own_score", "license", "license_from"]
@@ -122,69 +116,40 @@ RESULT = ["own_license", "own_score", "license", "license_from"]
 
 def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """Unit vectors (number, name, token, weight), idf by token, and the idf of any other token."""
-    bags = [Counter(t for t in re.split(_TOKEN, text.lower()) if t) for _, text in templates]
+    bags = [Counter(t for t in re.split(_TOKEN, text.lower()) if t and t not in _ORDINARY) for _, text in templates]
     df = Counter(t for bag in bags for t in bag)
     idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
     for i, ((name, _), bag) in enumerate(zip(templates, bags, strict=True)):
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items()))
-        rows += [(i, name, t, n * idf[t] / norm) for t, n in bag.items()]
+        values = {t: (1 + math.log(n)) * idf[t] for t, n in bag.items()}
+        norm = math.sqrt(sum(v * v for v in values.values()))
+        rows += [(i, name, t, v / norm) for t, v in values.items()]
     return rows, idf, math.log(1 + len(bags)) + 1
 
 
-def _with_own_words(short: list[tuple[str, str]], full: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The templates without those paragraphs of full texts that ordinary words alone could match."""
-    while True:
-        ordinary: Counter = Counter()
-        for number, _, token, weight in template_weights(short + full)[0]:
-            ordinary[number] += weight * weight * (token in _ORDINARY)
-        left = [t for i, t in enumerate(full, len(short)) if ordinary[i] < (LEAST - 1e-4) ** 2]
-        if len(left) == len(full):
-            return short + full
-        full = left
-
-
-TEMPLATES = _with_own_words(TEMPLATES, _full_texts())
-
-
 def telling_tokens(rows: list[tuple[int, str, str, float]], idf: dict[str, float], least: float) -> list[str]:
     """Tokens of which a text must have one to reach a cosine of ``least`` to any template.
 
-    Of each template tokens are taken, ordinary words last and then by idf,
-    until the others hold less than ``least`` squared of its squared weights.
+    Of each template the rarest tokens are taken until the others hold less
+    than ``least`` squared of its squared weights.
     """
     bound, found, by_template = max(least - 1e-6, 0.0) ** 2, set(), {}
     for number, _, token, weight in rows:
-        by_template.setdefault(number, []).append((token in _ORDINARY, -idf[token], token, weight))
+        by_template.setdefault(number, []).append((-idf[token], token, weight))
     for tokens in by_template.values():
         tokens.sort()
-        for at in range(len(tokens)):
-            if sum(t[3] ** 2 for t in tokens[at:]) < bound:
+        left = sum(t[2] ** 2 for t in tokens)
+        for _, token, weight in tokens:
+            if left < bound:
                 break
-            found.add(tokens[at][2])
+            found.add(token)
+            left -= weight**2
     return sorted(found)
 
 
-def token_gains(rows: list[tuple[int, str, str, float]], idf: dict[str, float], least: float) -> dict[str, float] | None:
-    """How far each occurrence of a token brings a unit; None where no bound holds.
-
-    With o the norm of a template's ordinary words, a unit u has a cosine of at
-    most o plus the sum of idf * weight over its other tokens divided by |u|. So
-    a unit whose sum of idf * weight / (least - o), at most over templates, is
-    under |u| reaches no template; and |u| is at least the idf of an unknown
-    token times the root of the number of distinct ones.
-    """
-    ordinary: Counter = Counter()
-    for number, _, token, weight in rows:
-        ordinary[number] += weight * weight * (token in _ORDINARY)
-    room = {n: least - 1e-6 - math.sqrt(o) for n, o in ordinary.items()}
-    if min(room.values()) <= 0:
-        return None
-    gains: dict[str, float] = {}
-    for number, _, token, weight in rows:
-        if token not in _ORDINARY:
-            gains[token] = max(gains.get(token, 0.0), idf[token] * weight / room[number])
-    return gains
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; columns named in lambda functions are copied into them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def units(text: Column) -> Column:
@@ -199,57 +164,41 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), blocks(text), runs, F.flatten(F.transform(runs, blocks)), F.array(text)))
 
 
-def own_licenses(files: DataFrame, text_col: str, key: str, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """Rows (key, own_license, own_score) of the files with a recognised unit."""
+def own_licenses(files: DataFrame, text_col: str, keys: list[str], templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """Rows (keys, own_license, own_score) of the files with a recognised unit."""
     rows, idf, other = template_weights(templates)
     spark = files.sparkSession
     weights = spark.createDataFrame(rows, "number int, template string, token string, weight double")
-    most = dict.fromkeys(idf, 0.0)
-    for _, _, token, weight in rows:
-        most[token] = max(most[token], weight)
-    idfs = spark.createDataFrame([(t, idf[t], most[t]) for t in sorted(idf)], "token string, idf double, most double")
-    telling = F.array(*[F.lit(t) for t in telling_tokens(rows, idf, least)])
+    idfs = spark.createDataFrame(sorted(idf.items()), "token string, idf double")
+    telling, known, ordinary = telling_tokens(rows, idf, least), sorted(idf), sorted(_ORDINARY | {""})
+    # (1 + ln n)**2 <= 1.5 n, so the tokens that templates know hold at most 1.5 * (highest idf)**2 an occurrence,
+    # and each distinct other token holds at least the square of its idf.
+    room = 1.5 * (max(idf.values(), default=0.0) / other) ** 2 * (1 - least**2 + 1e-6)
 
     def split(part: Column) -> Column:
         return F.split(F.lower(part), _TOKEN)
 
-    def told_units(some: DataFrame) -> DataFrame:
-        told = some.select(key, text_col, F.array_intersect(split(F.col(text_col)), telling).alias("told")).filter(F.size("told") > 0)
-        return told.select(key, F.posexplode(F.filter(units(F.col(text_col)), lambda u: F.arrays_overlap(split(u), F.col("told")))).alias("unit", "words"))
-
-    gains = token_gains(rows, idf, least)
-    if gains is None:
-        chosen = told_units(files)
-    else:
-        gain = spark.createDataFrame(sorted(gains.items()), "token string, gain double")
-        every = F.array(*[F.lit(t) for t in sorted(idf)])
-        # Two steps, so that the other tokens are counted once a unit and not for each token.
-        sized = told_units(files).withColumn("words", split(F.col("words"))).withColumn("others", F.size(F.array_except("words", every)))
-        sized = sized.select(key, "unit", "others", F.explode("words").alias("token"))
-        reach = sized.join(F.broadcast(gain), "token").groupBy(key, "unit").agg(F.sum("gain").alias("gain"), F.first("others").alias("others"))
-        # One of the other tokens may be the empty string.
-        may = stored(reach.filter(F.col("gain") >= other * F.sqrt(F.greatest(F.col("others") - 1, F.lit(0)))).select(key, "unit"), "reach")
-        passed = flagged(files.select(key, text_col), key, stored(bloom(may.distinct(), key), "bloom"), "__may").filter("__may")
-        chosen = told_units(passed).join(may, [key, "unit"], "left_semi")
-    tokens = (
-        chosen.select(key, "unit", F.explode(split(F.col("words"))).alias("token"))
-        .filter("token != ''")
-        .groupBy(key, "unit", "token")
-        .agg(F.count("*").alias("tf"))
-        .join(F.broadcast(idfs), "token", "left")
-        .withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    def reaches(tokens: Column) -> Column:
+        others = F.array_distinct(F.filter(tokens, lambda t: ~t.isin(known) & ~t.isin(ordinary)))
+        return F.size(others) * least**2 <= F.size(F.filter(tokens, lambda t: t.isin(known))) * room
+
+    told = files.select(*keys, text_col).filter(F.exists(split(F.col(text_col)), lambda t: t.isin(telling)))
+    chosen = told.select(
+        *keys, F.posexplode(F.filter(units(F.col(text_col)), lambda u: _let(split(u), lambda t: F.exists(t, lambda x: x.isin(telling)) & reaches(t)))).alias("unit", "words")
     )
-    tokens = stored(tokens, "tokens")
-    norms = tokens.groupBy(key, "unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.sum(F.col("value") * F.col("most")).alias("bound"))
-    norms = stored(norms.filter(F.col("bound") >= (least - 1e-6) * F.col("norm")).drop("bound"), "norms")
-    dots = tokens.join(norms.select(key, "unit"), [key, "unit"], "left_semi").join(F.broadcast(weights), "token").groupBy(key, "unit", "number", "template").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"), F.count_distinct("token").alias("shared"))
+    unit = [*keys, "unit"]
+    tokens = chosen.select(*unit, F.explode(split(F.col("words"))).alias("token")).filter(~F.col("token").isin(ordinary))
+    tokens = tokens.groupBy(*unit, "token").agg(F.count("*").alias("tf")).join(F.broadcast(idfs), "token", "left")
+    tokens = stored(tokens.select(*unit, "token", ((F.log("tf") + 1) * F.coalesce("idf", F.lit(other))).alias("value")), "tokens")
+    norms = tokens.groupBy(*unit).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    dots = tokens.join(F.broadcast(weights), "token").groupBy(*unit, "number", "template").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"), F.count("*").alias("shared"))
     # One word alone, such as the German "mit", names no licence.
     dots = dots.filter("shared > 1").drop("shared")
-    scored = dots.join(norms, [key, "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
-    by_unit = scored.groupBy(key, "unit", "template").agg(F.max("score").alias("score"))
-    by_license = by_unit.groupBy(key, "template").agg(F.max("score").alias("score"), F.round(F.sum("score"), 4).alias("total"))
+    scored = dots.join(norms.hint("merge"), unit).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
+    by_unit = scored.groupBy(*unit, "template").agg(F.max("score").alias("score"))
+    by_license = by_unit.groupBy(*keys, "template").agg(F.max("score").alias("score"), F.round(F.sum("score"), 4).alias("total"))
     best = F.min(F.struct((F.col("template") == "Proprietary").alias("p"), (-F.col("score")).alias("s"), (-F.col("total")).alias("n"), F.col("template").alias("t")))
-    return by_license.groupBy(key).agg(best.alias("b")).select(key, F.col("b.t").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    return by_license.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.t").alias("own_license"), (-F.col("b.s")).alias("own_score"))
 
 
 def _directory(path: Column) -> Column:
@@ -265,10 +214,12 @@ def license_scan(
     inherited, or null.
     """
     keep = [c for c in files.columns if c not in [*RESULT, text_col]]
-    base = files.select(*keep, text_col).withColumn("__uid", F.xxhash64(path_col, text_col))
-    own = stored(own_licenses(base, text_col, "__uid", templates or TEMPLATES, least), "own")
-    light = base.select(*keep, "__uid", is_license_file.alias("__is_file"), _directory(F.col(path_col)).alias("__dir"))
-    light = stored(light.join(own, "__uid", "left"), "files")
+    # Two hashes of 64 bits: equal rows share a key, others don't.
+    keys = ["__u1", "__u2"]
+    base = files.select(*keep, text_col).withColumns({"__u1": F.xxhash64(path_col, text_col), "__u2": F.xxhash64(F.lit(7), text_col, path_col)})
+    own = stored(own_licenses(base, text_col, keys, templates or TEMPLATES, least), "own")
+    light = base.select(*keep, *keys, is_license_file.alias("__is_file"), _directory(F.col(path_col)).alias("__dir"))
+    light = stored(light.join(own.hint("merge"), keys, "left"), "files")
     offers = (
         light.filter("__is_file and own_license is not null and __dir is not null")
         .groupBy(F.col("__dir").alias("__up"))
@@ -276,15 +227,14 @@ def license_scan(
     )
     directories = stored(light.filter("__dir is not null").groupBy("__dir").agg(F.count("*").alias("__n")), "directories")
     parts = F.split(F.col("__dir"), "/")
-    ups = directories.select(
-        "__dir", "__n", F.explode(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("__up")
-    )
+    ups = directories.select("__dir", F.explode(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("__up"))
+    # Both sides grow with the corpus, so they are shuffled.
     nearest = (
-        ups.join(offers, "__up")
+        ups.join(offers.hint("merge"), "__up")
         .groupBy("__dir")
-        .agg(F.first("__n").alias("__n"), F.max_by(F.struct("__offer", "__up"), F.when(F.col("__up") == "", 0).otherwise(F.size(F.split("__up", "/")))).alias("__near"))
+        .agg(F.max_by(F.struct("__offer", "__up"), F.when(F.col("__up") == "", 0).otherwise(F.size(F.split("__up", "/")))).alias("__near"))
     )
-    nearest = stored(directories.join(nearest.select("__dir", "__near"), "__dir", "left"), "nearest")
+    nearest = stored(directories.join(nearest.hint("merge"), "__dir", "left"), "nearest")
     joined = matched(light.filter("__dir is not null"), nearest, ["__dir"], "__n").drop("__n")
     joined = joined.unionByName(light.filter("__dir is null").withColumn("__near", F.lit(None).cast(nearest.schema["__near"].dataType)))
     return joined.select(

@@ -30,11 +30,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents, own and inherited.
 
     The table has no paths. A document lies in source/<thousand>/<hundred> of
-    its id; it is called LICENSE there if it is short and speaks of a licence.
+    its id; every tenth is a file called LICENSE, of which every other lies in
+    source/<thousand>.
     """
-    short = (F.length("text") < 1500) & F.col("text").rlike("(?i)licen[cs]e")
-    name = F.when(short, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.lit("file."), F.col("doc_id")))
-    place = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.when(short & (F.length("text") < 600), F.lit(None)).otherwise(F.expr("doc_id div 100")), name)
+    is_file, above = F.col("doc_id") % 10 == 0, F.col("doc_id") % 20 == 0
+    name = F.when(is_file, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.lit("file."), F.col("doc_id")))
+    place = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.when(~above, F.expr("doc_id div 100")), name)
     files = _documents(spark, sf_dir).select("doc_id", place.alias("path"), "text")
     return license_scan(files, F.col("path").rlike("/LICENSE[^/]*$"))
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import textwrap
 import zlib
 from datetime import datetime
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import licenses, mixing
+from siltstone.llm import licenses, mixing, queries
 from siltstone.llm.langid import LanguageModel, Predictor, identify
 from siltstone.llm.licenses import license_scan
 from siltstone.llm.mixing import mix, targets
@@ -180,20 +181,104 @@ def test_license_inheritance(spark):
     assert license_scan(files.limit(0), F.lit(False)).count() == 0
 
 
+def _units(text):
+    """Lines, blocks, comments, their blocks and the whole text, written apart from the operator."""
+    lines, found = text.split("\n"), {text}
+    comment = re.compile(r"[ \t]*(?:#|//|/\*|\*|--|;|%)")
+    runs, now = [], []
+    for line in lines:
+        if comment.match(line):
+            now.append(line)
+        else:
+            runs.append("\n".join(now))
+            now = []
+    runs.append("\n".join(now))
+    for part in [text, *runs]:
+        found.update([part, *re.split(r"\n[^A-Za-z0-9]*\n", part)])
+    return found | set(lines)
+
+
+def _best_license(text, weights, idf, other, least):
+    """(licence, score) by comparing every unit to every template."""
+    best: dict = {}
+    totals: dict = {}
+    for unit in _units(text):
+        bag: dict = {}
+        for t in re.split("[^a-z0-9]+", unit.lower()):
+            if t and t not in licenses._ORDINARY:
+                bag[t] = bag.get(t, 0) + 1
+        values = {t: (1 + math.log(n)) * idf.get(t, other) for t, n in bag.items()}
+        norm = math.sqrt(sum(v * v for v in values.values()))
+        dots: dict = {}
+        for t, v in values.items():
+            for number, name, w in weights.get(t, ()):
+                d, k = dots.get((number, name), (0.0, 0))
+                dots[number, name] = d + v * w, k + 1
+        here: dict = {}
+        for (_, name), (d, k) in dots.items():
+            if k > 1 and round(d / norm, 6) >= least:
+                here[name] = max(here.get(name, 0), round(d / norm, 6))
+        for name, score in here.items():
+            best[name] = max(best.get(name, 0), score)
+            totals[name] = totals.get(name, 0) + score
+    ranked = sorted(best, key=lambda n: (n == "Proprietary", -best[n], -round(totals[n], 4), n))
+    return (ranked[0], best[ranked[0]]) if ranked else (None, None)
+
+
+def _weights():
+    rows, idf, other = licenses.template_weights(licenses.TEMPLATES)
+    weights: dict = {}
+    for number, name, t, w in rows:
+        weights.setdefault(t, []).append((number, name, w))
+    return weights, idf, other
+
+
 def test_cosine_like_brute_force(spark):
-    text = "Licensed under the Apache License, version 2.0, or the MIT License"
-    files = spark.createDataFrame([("a", text)], "path string, text string")
-    row = license_scan(files, F.lit(False), least=0.0).first()
-    weights, idf, other = licenses.template_weights(licenses.TEMPLATES)
-    bag = {}
-    for t in "licensed under the apache license version 2 0 or the mit license".split():
-        bag[t] = bag.get(t, 0) + 1
-    norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in bag.items()))
-    scores = {}
-    for i, name, t, w in weights:
-        scores[i, name] = scores.get((i, name), 0) + w * bag.get(t, 0) * idf.get(t, other) / norm
-    best = max(scores, key=lambda k: scores[k])
-    assert row.own_license == best[1] and row.own_score == pytest.approx(scores[best], abs=1e-5)
+    texts = ["Licensed under the Apache License, version 2.0, or the MIT License", "license mit license", "x = 1\n# Released under MIT\n#\n# license terms of the GNU public license\ny", "mit der License", ""]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    for least in (0.3, licenses.LEAST):
+        got = {r.path: (r.own_license, r.own_score) for r in license_scan(files, F.lit(False), least=least).collect()}
+        for i, text in enumerate(texts):
+            name, score = _best_license(text, *_weights(), least)
+            assert got[str(i)][0] == name and got[str(i)][1] == (score if score is None else pytest.approx(score, abs=2e-6)), text
+
+
+def test_whole_table_like_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).is_dir():
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    extra = [(Path(licenses.__file__).parent / "license_texts" / f"{n}.txt").read_text() for n in ("MIT", "Apache-2.0", "ISC", "GPL-2.0")]
+    own = {d.doc_id: _best_license(d.text or "", *_weights(), licenses.LEAST) for d in docs}
+    got = {r.doc_id: r for r in queries.op2_license_scan(spark, folder).collect()}
+    offers: dict = {}
+    for d in sorted(docs, key=lambda d: got[d.doc_id].path):
+        if d.doc_id % 10 == 0 and own[d.doc_id][0]:
+            offers.setdefault(got[d.doc_id].path.rsplit("/", 1)[0], own[d.doc_id][0])
+    for d in docs:
+        up, r = got[d.doc_id].path, got[d.doc_id]
+        assert (r.own_license, r.own_score) == own[d.doc_id]
+        while up and not r.own_license:
+            up = up.rsplit("/", 1)[0] if "/" in up else ""
+            if up in offers:
+                break
+        assert (r.license, r.license_from) == ((r.own_license, "header") if r.own_license else (offers.get(up), up if up in offers else None))
+    assert sum(name is not None for name, _ in own.values()) >= 3 and all(_best_license(t, *_weights(), licenses.LEAST)[0] for t in extra)
+
+
+def test_usual_headers(spark):
+    want = {
+        "# SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-3.0-only */": "GPL-3.0",
+        "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "# SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+        "# SPDX-License-Identifier: ISC": "ISC", "-- SPDX-License-Identifier: CC0-1.0": "CC0-1.0", "# SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0",
+        "# Licensed under the MIT License.": "MIT", "# Released under the Apache License 2.0": "Apache-2.0", "# Copyright (c) 2020 Jo Doe.\n# All rights reserved.": "Proprietary",
+        "# This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "# " + licenses._gnu_header("Lesser General Public License", "2.1"): "LGPL-2.1", "# " + licenses._gnu_header("Affero General Public License", "3"): "AGPL-3.0",
+        "the cat and the dog went to the market to buy bread": None, "a/" * 400 + "license": None,
+    }
+    rows = [("/".join(["d"] * 300) + f"/f{i}", f"{header}\n\nimport os\nprint(os.name)\n") for i, header in enumerate(want)]
+    got = {r.path.rsplit("/f", 1)[1]: r.own_license for r in license_scan(spark.createDataFrame(rows, "path string, text string"), F.lit(False)).collect()}
+    assert [got[str(i)] for i in range(len(want))] == list(want.values())
 
 
 def test_license_whole_headers_and_files(spark):
