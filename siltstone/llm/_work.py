@@ -2,8 +2,10 @@
 
 Working tables are Parquet written to the folder in ``spark.checkpoint.dir``,
 which every executor and the driver see. They cut lineage: a lost executor
-costs its running tasks, not the steps before. Where that setting is absent
-(tests on one machine) a temporary folder of the driver is used.
+costs its running tasks, not the steps before. Where that setting is absent a
+local session uses a temporary folder; on a cluster that is an error, as
+executors couldn't see it. Results are lazy and read some of these tables, so
+they stay until the caller has read the result; ``cleared`` deletes them then.
 """
 
 from __future__ import annotations
@@ -48,34 +50,48 @@ def settled() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one of our own where none is set."""
+    """The shared folder of the cluster, or one of our own where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     return _own[app]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a working table and return the DataFrame that reads it."""
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write a working table, in folders by a column if one is named, and return the DataFrame that reads it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._siltstone_path = path
     return back
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siltstone-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all working tables of this application; results that read them must have been written before."""
+    _delete(spark, _folder(spark))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete working tables that no later step reads."""
     for table in tables:
         path = getattr(table, "_siltstone_path", None)
         if path:
-            jvm = table.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(table.sparkSession, path)
 
 
 def words(text: Column) -> Column:

@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._bloom import bloom, flagged
-from siltstone.llm._work import SPACES, matched, stored
+from siltstone.llm._bloom import bits_for, bloom, flagged
+from siltstone.llm._work import SPACES, dropped, matched, stored
 
 WINDOW = 3
 
@@ -65,9 +65,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone", F.xxhash64("id", "th").alias("__key"))
     )
     covered = stored(covered, "covered")
-    blocks = stored(bloom(covered, "__key"), "bloom")
+    dropped(windows, groups)
+    bits = bits_for(covered.count())
+    blocks = stored(bloom(covered, "__key", bits), "bloom")
     keyed = docs.withColumn("__text_hash", F.xxhash64(text_col)).withColumn("__row_key", F.xxhash64(id_col, "__text_hash"))
-    tested = flagged(keyed, "__row_key", blocks, "__maybe")
+    tested = flagged(keyed, "__row_key", blocks, bits, "__maybe")
     lines = F.split(F.col(text_col), "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     same = tested.filter(~F.col("__maybe")).select(*docs.columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))

@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import _shingles as sh
-from siltstone.llm._bloom import bloom, flagged
+from siltstone.llm._bloom import bits_for, bloom, flagged
 from siltstone.llm._components import components
 from siltstone.llm._trie import trie_components
-from siltstone.llm._work import bounded_batches, matched, settled, stored, words
+from siltstone.llm._work import bounded_batches, dropped, matched, settled, stored, words
 
 # Most sets and, about, shared shingles of a block that builds one tree.
 BLOCK_SETS = 2000
@@ -172,15 +172,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = asks.groupBy("bucket").applyInPandas(sh.answered, "f long, shared long").groupBy("f").agg(F.sum("shared").alias("shared"))
     alive = classes.join(shared, "f", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("half") - F.floor(F.col("n") / 4))
     alive = stored(alive.select("f", "n"), "alive")
-    blocks = stored(bloom(alive, "f"), "bloom")
-    found = flagged(texts.mapInArrow(sh.sets, "f long, tokens array<bigint>"), "f", blocks, "maybe").filter("maybe")
+    bits = bits_for(alive.count())
+    blocks = stored(bloom(alive, "f", bits), "bloom")
+    found = flagged(texts.mapInArrow(sh.sets, "f long, tokens array<bigint>"), "f", blocks, bits, "maybe").filter("maybe")
     size = max(1, (alive.agg(F.sum("n")).first()[0] or 0) // BLOCK_TOKENS)
     picked = found.groupBy("f").agg(F.first("tokens").alias("tokens")).join(alive.select("f"), "f", "left_semi")
     picked = stored(picked.withColumn("block", F.expr(f"pmod(xxhash64(f), {size})")), "sets")
     counted = picked.groupBy("block").applyInPandas(sh.count_asks(max(4, size)), "bucket long, block long, tokens binary, counts binary")
     answers = counted.groupBy("bucket").applyInPandas(sh.count_answers, "block long, tokens binary, counts binary")
     ordered = stored(picked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(sh.ordered, _SET), "ordered")
+    dropped(picked)
     labels = stored(linked_sets(ordered), "linked")
+    dropped(ordered)
     lows = labels.join(classes.select("f", "low"), "f").groupBy("label").agg(F.count("*").alias("m"), F.min("low").alias("least"))
     named = matched(labels, stored(lows, "lows"), ["label"], "m").select("f", "least")
     final = classes.join(named, "f", "left").select("f", "rows", F.coalesce("least", "low").alias("best"))
@@ -202,7 +205,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     special = special.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th"), "__kept", F.xxhash64(id_col, "text_hash").alias("__special"))
     special = stored(special, "special")
     keyed = docs.withColumn("__text_hash", F.xxhash64(text_col)).withColumn("__row_key", F.xxhash64(id_col, "__text_hash"))
-    tested = flagged(keyed, "__row_key", stored(bloom(special, "__special"), "bloom"), "__maybe")
+    bits = bits_for(special.count())
+    tested = flagged(keyed, "__row_key", stored(bloom(special, "__special", bits), "bloom"), bits, "__maybe")
     moved = F.col("__maybe") & (F.size(words(F.col(text_col))) > 0)
     single = tested.filter(moved).dropDuplicates([id_col, "__text_hash"])
     judged = single.join(special, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left")

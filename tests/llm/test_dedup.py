@@ -18,13 +18,26 @@ def _text(seed, n):
     return " ".join(r.choice(WORDS) for _ in range(n))
 
 
-def test_bloom_misses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(_bloom, "BITS", 12)
-    keys = spark.range(500).select((F.col("id") % 300).alias("k"))
-    twice = _bloom.bloom(keys, "k", at_least=2)
-    flags = {r.k: r.maybe for r in _bloom.flagged(keys, "k", twice, "maybe").collect()}
+def test_bloom_misses_nothing(spark):
+    keys = spark.range(500).select((F.col("id") % 300).alias("k"), F.monotonically_increasing_id().alias("u")).repartition(5)
+    bits = _bloom.bits_for(500)
+    twice = _bloom.repeated(keys, "k", "u", bits)
+    flags = {r.k: r.maybe for r in _bloom.flagged(keys, "k", twice, bits, "maybe").collect()}
     assert all(flags[k] for k in range(200))
-    assert sum(flags[k] for k in range(200, 300)) < 60
+    assert sum(flags[k] for k in range(200, 300)) < 20
+    some = _bloom.bloom(keys.filter("k < 50"), "k", bits)
+    flags = {r.k: r.maybe for r in _bloom.flagged(keys, "k", some, bits, "maybe").collect()}
+    assert all(flags[k] for k in range(50)) and sum(flags[k] for k in range(50, 300)) < 20
+    assert _bloom.bits_for(0) == _bloom.MIN_BITS and _bloom.bits_for(10**12) == _bloom.MAX_BITS and _bloom.slices(0) == 1 and _bloom.slices(10**9) > 100
+
+
+def test_exact_in_slices(docs_of, monkeypatch):
+    rows = [(i, "same" if i % 3 == 0 else f"text {i // 2}", "en") for i in range(400)]
+    whole = sorted(map(tuple, exact_dedup(docs_of(rows)).collect()))
+    monkeypatch.setattr(_bloom, "MAX_BITS", 1 << 11)
+    monkeypatch.setattr(_bloom, "MIN_BITS", 1 << 11)
+    assert _bloom.slices(400) > 3
+    assert sorted(map(tuple, exact_dedup(docs_of(rows).repartition(3)).collect())) == whole
 
 
 def test_exact_copies(docs_of):
