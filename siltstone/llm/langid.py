@@ -1,21 +1,22 @@
 """Language identification by known words with character n-gram backoff.
 
-Training counts lower-cased words by language over a bounded sample of the
-labelled documents (whole texts). The model keeps the most frequent words of
-each language and the n-grams, of one to five characters, of those words. A
-known word scores its log frequency in each language; an unseen word scores the
-mean log frequency of its longest n-grams that the model knows. A text's score
-is the sum over its words, turned into a probability by softmax.
+Training counts lower-cased words by language over a sample of the labelled
+documents (whole texts), at most about SAMPLE_DOCS a language and all of those
+that have fewer, so that a rare language is learnt next to a frequent one. The
+model holds every word of the sample and every n-gram, of one to five
+characters, of those words. A known word scores its log frequency in each
+language; an unseen word scores the mean log frequency of its longest n-grams
+that the model knows. A text's score is the sum over its words, turned into a
+probability by softmax. Predictions read whole texts.
 
 Cases: null texts and texts without a letter are ``und`` with score 0. Texts
-take time in proportion to their length. Without labelled documents all are
-``und``. Ties go to the language that sorts first. Repeated rows get equal
-results; extra columns are ignored.
+take time in proportion to their length, whatever it is. Without labelled
+documents all are ``und``. Ties go to the language that sorts first. Repeated
+rows get equal results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,15 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltstone.llm._work import bounded_batches
 
-# Bounds of the model: documents of the training sample (about), words a
-# language, n-grams a length.
-SAMPLE_DOCS = 20_000
-WORDS = 30_000
-GRAMS = 60_000
+# Bound of the training sample: documents a language, about. It is the only bound of the model.
+SAMPLE_DOCS = 3_000
 LONGEST = 5
 CACHED_WORDS = 200_000
 
@@ -61,8 +58,6 @@ class LanguageModel:
             for word, row in words.items():
                 for gram in _grams(word, n):
                     table[gram] += row
-            if len(table) > GRAMS:
-                table = dict(sorted(table.items(), key=lambda x: (-x[1].sum(), x[0]))[:GRAMS])
             self.grams.append(self._logs(table))
 
     @staticmethod
@@ -111,16 +106,13 @@ class Predictor:
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> LanguageModel:
-    """Fit on about SAMPLE_DOCS documents, chosen by a hash of the id."""
-    rows = labelled.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, rows))
-    limit = math.floor(share * 2**64) - 2**63 - 1
-    sample = labelled.filter(F.xxhash64(F.lit(5), id_col) <= F.lit(limit)) if share < 1 else labelled
-    found = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+)"), 1)
-    counts = sample.select(F.col(lang_col).alias("lang"), F.explode(found).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= WORDS)
-    return LanguageModel([(r[0], r[1], r[2]) for r in top.select("lang", "word", "n").collect()])
+    """Fit on about SAMPLE_DOCS documents of each language, chosen by a hash of the id."""
+    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    limits = sizes.select("lang", F.when(F.col("n") <= SAMPLE_DOCS, F.lit(2**63 - 1)).otherwise(((F.lit(SAMPLE_DOCS) / F.col("n") - 0.5) * 2.0**64).cast("long")).alias("most"))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), id_col).alias("draw"))
+    sample = rows.join(F.broadcast(limits), "lang").filter(F.col("draw") <= F.col("most"))
+    counts = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return LanguageModel(sorted((r[0], r[1], r[2]) for r in counts.collect()))
 
 
 def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -8,13 +8,15 @@ sums a source; they are taken by distributed aggregation over the counts of
 (source, size), which hold all documents. Rates then become copies: documents
 of equal source and size share floor(rate) copies and a count of extra ones
 that carries rounding errors on to the next size, so a source's total ends
-near its target. Which documents get the extra copy is decided by a hash of
-the id; reruns agree.
+near its target. The extra copies of a stratum go to the documents with the
+least hashes of their ids, by exact rank whatever its size; reruns agree.
 
 Cases: null text has size 0; null is a source of its own, ordered last. Rows
-that repeat an id and a size move together. Sources without words have target
-0. An empty table gives an empty result. One row a source reaches the driver;
-sources are taken to be a list that people keep.
+that repeat an id and a size move together. Null ids are one id. Sources
+without words have target 0. An empty table gives an empty result. Very long
+texts are counted whole. One row a source reaches the driver; sources are taken
+to be a list that people keep. One task rounds the strata of a source, one row
+for each size that occurs, at most as many as the longest text has words.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.llm._work import matched, stored, words
 
@@ -31,9 +34,8 @@ from siltstone.llm._work import matched, stored, words
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-# Strata up to this many documents are ranked exactly; larger ones are split by
-# hash value, whose actual count is then carried on like any rounding error.
-RANKED = 1000
+# Documents of a bin of hash values, about, in which a stratum's last extra copy is found.
+BIN_DOCS = 500
 # Most rows of the decision table that are broadcast (under 100 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -104,20 +106,36 @@ def solve(counts: DataFrame, goal: dict[int, tuple[float, float]], rounds: int =
 
 
 def _carried(group: pd.DataFrame) -> pd.DataFrame:
-    """Copies of each stratum of a source; hot strata first, then from the largest size down."""
-    group = group.sort_values(["hot", "size"], ascending=[False, False])
+    """Copies of each stratum of a source, from the largest size down; rounding errors are carried on."""
+    group = group.sort_values("size", ascending=False)
     owed, out = 0.0, []
-    for size, n, rate, hot, extra in zip(group["size"], group["n"], group["rate"], group["hot"], group["extra"], strict=True):
-        low = min(math.floor(rate), CAP)
-        high = min(math.ceil(rate), CAP)
+    for size, n, rate in zip(group["size"], group["n"], group["rate"], strict=True):
+        low, high = min(math.floor(rate), CAP), min(math.ceil(rate), CAP)
         owed += rate * n * size
-        if hot:
-            copies = low * n + (int(extra) if high > low else 0)
-        else:
-            copies = min(max(round(owed / size), low * n), high * n) if size else low * n
+        copies = min(max(round(owed / size), low * n), high * n) if size else low * n
         owed -= copies * size
-        out.append((copies // n, copies % n) if not hot else (low, copies - low * n))
-    return pd.DataFrame({"k": group["k"], "size": group["size"], "n": group["n"], "hot": group["hot"], "rate": group["rate"], "base": [b for b, _ in out], "extra": [e for _, e in out]})
+        out.append((copies // n, copies % n))
+    return pd.DataFrame({"k": group["k"], "size": group["size"], "n": group["n"], "base": [b for b, _ in out], "extra": [e for _, e in out]})
+
+
+def _last_draws(drawn: DataFrame, rounded: DataFrame) -> DataFrame:
+    """(k, size, last): the draw of rank ``extra`` in each stratum that has extra copies.
+
+    Draws are counted by bins of hash values; the bin that holds the rank is
+    found from running sums, and only its draws, some BIN_DOCS, are sorted.
+    """
+    bins = F.greatest(F.lit(1), F.col("n") / BIN_DOCS).cast("long")
+    wanted = rounded.filter("extra > 0").select("k", "size", "n", "extra", bins.alias("bins"))
+    at = F.floor((F.col("__draw") / F.lit(2.0**64) + 0.5) * F.col("bins")).cast("long")
+    placed = matched(drawn, stored(wanted, "wanted"), ["k", "size"], "n").select("k", "size", "extra", "__draw", at.alias("bin"))
+    placed = stored(placed, "placed")
+    counts = placed.groupBy("k", "size", "bin").agg(F.count("*").alias("m"), F.first("extra").alias("extra"))
+    running = counts.withColumn("upto", F.sum("m").over(Window.partitionBy("k", "size").orderBy("bin")))
+    hit = running.filter((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("m") < F.col("extra")))
+    hit = stored(hit.select("k", "size", "bin", "m", (F.col("extra") - F.col("upto") + F.col("m")).cast("int").alias("rank")), "hit")
+    several = matched(placed.select("k", "size", "bin", "__draw"), hit, ["k", "size", "bin"], "m").groupBy("k", "size", "__draw").agg(F.count("*").alias("c"), F.first("rank").alias("rank"))
+    ordered = several.withColumn("upto", F.sum("c").over(Window.partitionBy("k", "size").orderBy("__draw")))
+    return ordered.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select("k", "size", F.col("__draw").alias("last"))
 
 
 def measured(docs: DataFrame, carry: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -150,31 +168,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lam = solve(keyed, goal)
     duals = spark.createDataFrame([(k, max(min(v, 1e300), -1e300), goal[k][1]) for k, v in lam.items()], "k int, lam double, scale double")
     rates = keyed.join(F.broadcast(duals), "k").withColumn("rate", _rate(F.col("lam"), F.col("size"), F.col("scale")))
-    rates = rates.withColumn("hot", F.col("n") > RANKED).withColumn(
-        "limit", F.when(F.col("hot"), ((F.col("rate") - F.floor("rate")) * F.lit(2.0**64) - F.lit(2.0**63)).cast("long"))
-    )
-    rates = stored(rates.select("k", "size", "n", "rate", "hot", "limit"), "rates")
+    rounded = rates.select("k", "size", "n", "rate").groupBy("k").applyInPandas(_carried, "k int, size long, n long, base long, extra long")
+    rounded = stored(rounded, "rounded")
     named = F.broadcast(sources.withColumnRenamed("k", "__k"))
     drawn = light.select("__source", "__size", "__draw").join(named, F.col("__source").eqNullSafe(F.col("__name"))).select(F.col("__k").alias("k"), F.col("__size").alias("size"), "__draw")
-    hot = rates.filter("hot")
-    extra = matched(drawn, hot, ["k", "size"], "n").groupBy("k", "size").agg(F.sum((F.col("__draw") <= F.col("limit")).cast("long")).alias("extra"))
-    rounded = (
-        rates.join(extra, ["k", "size"], "left")
-        .select("k", "size", "n", "rate", "hot", F.coalesce("extra", F.lit(0)).cast("long").alias("extra"))
-        .groupBy("k")
-        .applyInPandas(_carried, "k int, size long, n long, hot boolean, rate double, base long, extra long")
-    )
-    rounded = stored(rounded, "rounded")
-    ranked = (
-        drawn.join(rounded.filter("not hot and extra > 0").select("k", "size", "extra"), ["k", "size"])
-        .groupBy("k", "size")
-        .agg(F.sort_array(F.collect_list("__draw")).alias("draws"), F.first("extra").alias("extra"))
-        .select("k", "size", F.expr("draws[cast(extra as int) - 1]").alias("exact"))
-    )
-    decided = (
-        rounded.join(ranked, ["k", "size"], "left")
-        .join(hot.select("k", "size", "limit"), ["k", "size"], "left")
-        .select(F.col("k").alias("__k"), F.col("size").alias("__s"), F.col("n").alias("__n"), F.col("base").alias("__base"), F.coalesce("exact", "limit").alias("__last"))
+    decided = rounded.join(_last_draws(drawn, rounded), ["k", "size"], "left").select(
+        F.col("k").alias("__k"), F.col("size").alias("__s"), F.col("n").alias("__n"), F.col("base").alias("__base"), F.col("last").alias("__last")
     )
     decided = stored(decided, "decided")
     rows = measured(docs, carry, id_col, text_col, source_col) if heavy else light

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import licenses, mixing, queries
+from siltstone.llm import langid, licenses, mixing, queries
 from siltstone.llm.langid import LanguageModel, Predictor, identify
 from siltstone.llm.licenses import license_scan
 from siltstone.llm.mixing import mix, targets
@@ -107,7 +107,7 @@ def test_targets():
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_mix_meets_targets(docs_of, monkeypatch, broadcast):
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(mixing, "RANKED", 20)
+    monkeypatch.setattr(mixing, "BIN_DOCS", 7)
     r = random.Random(2)
     rows = [(i, "w " * (r.randrange(1, 40) if i % 3 else 12), "en", r.choice(["b", "a", "ü", None, "c", "a"])) for i in range(900)]
     rows += [(1000, None, "en", "a"), (1001, "", "en", "empty"), (1002, "x y", "en", None)]
@@ -125,6 +125,48 @@ def test_mix_meets_targets(docs_of, monkeypatch, broadcast):
     assert again == {x.doc_id: x.copies for x in out}
 
 
+def test_mix_like_brute_force(docs_of):
+    """Rates by bisection of each source's dual, rounding and ranks written apart from the operator."""
+    r = random.Random(9)
+    rows = [(i, "w " * (r.randrange(1, 30) if i % 2 else 9), "en", r.choice(["a", "b", "b", "c", None])) for i in range(700)]
+    docs = docs_of(rows)
+    out = {x.doc_id: x for x in mix(docs, carry=["doc_id", "source"]).collect()}
+    draws = {x[0]: x[1] for x in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id")).collect()}
+    order = sorted({x[3] for x in rows}, key=lambda s: (s is None, s or ""))
+    size = {i: len(t.split()) for i, t, _, _ in rows}
+    goals = dict(zip(order, targets([sum(size[x[0]] for x in rows if x[3] == s) for s in order]), strict=True))
+    for s in order:
+        strata: dict = {}
+        for i, _, _, source in rows:
+            if source == s:
+                strata.setdefault(size[i], []).append(i)
+        total, n = sum(k * len(v) for k, v in strata.items()), sum(map(len, strata.values()))
+        rate = lambda lam, k: 2 / (1 + math.exp(-max(-500.0, min(500.0, lam * k / max(1.0, total / n)))))  # noqa: E731, B023
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            if sum(k * len(v) * rate(mid, k) for k, v in strata.items()) > goals[s]:
+                high = mid
+            else:
+                low = mid
+        owed = 0.0
+        for k in sorted(strata, reverse=True):
+            ids = sorted(strata[k], key=lambda i: draws[i])
+            f = 2.0 if goals[s] >= 2 * total * (1 - 1e-12) else rate(low, k)
+            owed += f * len(ids) * k
+            copies = min(max(round(owed / k), min(math.floor(f), 2) * len(ids)), min(math.ceil(f), 2) * len(ids))
+            owed -= copies * k
+            base, extra = copies // len(ids), copies % len(ids)
+            assert [out[i].copies for i in ids] == [base + (at < extra) for at in range(len(ids))], (s, k)
+
+
+def test_mix_long_texts_and_null_ids(docs_of):
+    rows = [(None, "a b c", "en", "x")] * 40 + [(i, "a b c", "en", "x") for i in range(40)] + [(900, "w " * 50_000, "en", "x"), (901, "y" * 100_000, "en", "z")]
+    out = mix(docs_of(rows), carry=["doc_id"]).collect()
+    assert len(out) == len(rows) and len({x.copies for x in out if x.doc_id is None}) == 1
+    assert {x.size for x in out if x.doc_id in (900, 901)} == {50_000, 1} and all(0 <= x.copies <= 2 for x in out)
+
+
 def test_mix_edges(docs_of):
     assert mix(docs_of([])).count() == 0
     same = mix(docs_of([(1, "a b c")] * 5 + [(None, "a b")]).withColumn("size", F.lit("x")).withColumn("k", F.lit(1))).collect()
@@ -160,6 +202,54 @@ def test_held_out_accuracy(spark, docs_of):
     assert identify(docs_of([]), F.lit(True)).count() == 0
 
 
+def test_languages_of_any_size(docs_of, monkeypatch):
+    """A language with two documents is learnt next to one with hundreds; long texts, ties and clashing columns."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 50)
+    rows = [(i, "the river and the stone " * 3, "en") for i in range(600)] + [(700 + i, "der fluss und der stein", "de") for i in range(2)]
+    rows += [(800, "fluss " * 60_000, None), (801, "zzz", "en"), (802, "q" * 100_000, None)]
+    docs = docs_of(rows).withColumn("score", F.lit("x")).withColumn("n", F.lit(1)).withColumn("draw", F.lit(2)).withColumn("word", F.lit("w"))
+    out = {x.doc_id: x for x in identify(docs, F.lit(True)).collect()}
+    assert out[700].lang_pred == out[701].lang_pred == out[800].lang_pred == "de" and out[5].lang_pred == "en" and 0 <= out[802].score <= 1
+
+
+def test_languages_like_brute_force(spark, docs_of):
+    """Scores recomputed word by word from counts of the whole training fold."""
+    r = random.Random(3)
+    vocabulary = {lang: ["".join(r.choice(letters) for _ in range(r.randrange(2, 7))) for _ in range(60)] for lang, letters in (("a", "abcde"), ("b", "cdefg"), ("c", "efghi"))}
+    rows = [(i, " ".join(r.choice(vocabulary[lang]) for _ in range(r.randrange(1, 9))), lang) for i, lang in ((i, r.choice("abc")) for i in range(200))]
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    out = {x.doc_id: x for x in identify(docs_of(rows), fold != 2).collect()}
+    counts, grams = {}, {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in text.split():
+                counts.setdefault(w, dict.fromkeys("abc", 0))[lang] += 1
+    for w, by in counts.items():
+        for n in range(1, 6):
+            for g in [f"_{w}_"[k : k + n] for k in range(len(w) + 3 - n)]:
+                cell = grams.setdefault(n, {}).setdefault(g, dict.fromkeys("abc", 0))
+                for lang in "abc":
+                    cell[lang] += by[lang]
+
+    def logs(table, key, lang):
+        return math.log((table[key][lang] + 0.1) / (sum(x[lang] for x in table.values()) + 0.1 * len(table)))
+
+    for i, text, _ in rows[:80]:
+        total = dict.fromkeys("abc", 0.0)
+        for w in text.split():
+            for lang in "abc":
+                if w in counts:
+                    total[lang] += logs(counts, w, lang)
+                    continue
+                for n in range(5, 0, -1):
+                    known = [logs(grams[n], g, lang) for g in [f"_{w}_"[k : k + n] for k in range(len(w) + 3 - n)] if g in grams.get(n, {})]
+                    if known:
+                        total[lang] += sum(known) / len(known)
+                        break
+        best = max(sorted(total), key=lambda x: total[x])
+        assert out[i].lang_pred == best and out[i].score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), abs=1e-3)
+
+
 # Licences
 
 
@@ -339,4 +429,8 @@ def test_entries_hold_in_their_time(spark):
     action = {r.page_id: r.action for r in out}
     assert action == {1: "pass", 2: "block", 3: "block", 4: "pass", 5: "block", 6: "allow", 7: "block", 8: "allow", 9: "pass", 10: "block", 11: "pass", 12: "pass", 13: "pass", 14: "pass"}
     assert {r.action for r in url_filter(c, e.limit(0)).collect()} == {"pass"}
+    # Wild dates, several changes in a day, and a very long URL.
+    wild = spark.createDataFrame([(1, "http://bad.com/", datetime(9998, 1, 1)), (2, "http://bad.com/", datetime(1900, 1, 1)), (3, "http://bad.com/" + "a/" * 20_000, datetime(2024, 2, 2, 11)), (4, "http://bad.com/", datetime(2024, 2, 2, 9))], c.select("page_id", "url", "fetched_at").schema)
+    hours = spark.createDataFrame([("domain", "bad.com", a, datetime(2024, 2, 2, h)) for h, a in ((8, "block"), (10, "allow"), (12, "remove"), (14, "block"))], e.schema)
+    assert {r.page_id: r.action for r in url_filter(wild, hours).collect()} == {1: "block", 2: "pass", 3: "allow", 4: "block"}
     assert url_filter(c.limit(0), e).count() == 0
