@@ -10,17 +10,18 @@ two, which need no padding.
 
 Cases: null text counts as empty; an empty document is its end token alone.
 Repeated rows are packed as often as they occur. Ids may be null. An empty
-table gives an empty result. Extra columns are ignored. The result depends on
-the order of rows within partitions, which a scan of files repeats when a task
-runs again.
+table gives an empty result. Extra columns are ignored. Very long texts are
+tokenised whole. The result depends on the order of rows within partitions,
+which a scan of files repeats when a task runs again; of a table dealt out
+anew the sequences differ, the ids of each document don't.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +32,36 @@ from siltstone.llm._work import bounded_batches, settled
 
 WINDOW = 4096
 BUFFER_TOKENS = 1_000_000
-# Runs of a generation of the token cache, of which two are kept.
-CACHED_WORDS = 150_000
-CACHED_LENGTH = 48
-# A point or comma between a letter and the end of a run.
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|$)")
-_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
-
-# Fixed value of the vocabulary: how tokens that end a word are marked.
+# Words longer than this go to the tokenizer itself, whose merging doesn't take quadratic time.
+LONG_WORD = 400
+
+# Fixed values of the vocabulary: how tokens that end a word are marked, its normaliser and its rule for words.
 WORD_END = "</w>"
-# Plain runs that are tokenised as one text.
-TOGETHER = 64
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+# Texts of these characters are stable under the normaliser but for their case, and their letters and numbers are
+# those of the two classes below: Latin-1 without controls and odd blanks, and general punctuation.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff\u2010-\u2027\u2030-\u205e\u20ac\u2122]*")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
-def _cut(data: bytes, ends: list[int]) -> list[bytes]:
-    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-class TokenCache:
-    """Token ids as little-endian bytes, tokenised once for each distinct run without blanks.
+class Encoder:
+    """Token ids of texts as little-endian bytes, equal to those of the tokenizer file.
 
-    Both the normaliser and the splitter of a word-level BPE treat the runs
-    between blanks and line ends independently, so a text's ids are those of
-    its runs in order.
+    Plain texts are split into words here and merged by a second engine that
+    knows the same ranks; a zero byte behind each word stands for the mark of a
+    word's end. Other texts, those that may hold special tokens, those with very
+    long words, and all texts of vocabularies of another kind go through the
+    tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -61,74 +69,48 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ending[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encoded(self, runs: list[str]) -> list[bytes]:
-        # Runs of plain letters are one word each. They are tokenised many to a
-        # text and parted again after the ids that end a word.
-        plain = [run for run in runs if _PLAIN.fullmatch(run)]
-        texts = [" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4")
-        ends = (np.flatnonzero(self.ending[flat]) + 1) * 4
-        found = dict(zip(plain, _cut(flat.tobytes(), ends.tolist()), strict=True))
-        others = [run for run in runs if run not in found]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4")
-        found.update(zip(others, _cut(flat.tobytes(), [4 * n for n in accumulate(map(len, ids))]), strict=True))
-        return [found[run] for run in runs]
+        with open(path, encoding="utf-8") as file:
+            self.fast = self._engine(json.load(file))
 
     @staticmethod
-    def runs(text: str) -> list[str]:
-        """The runs of a text.
-
-        The tokenizer lowers letters and never joins letters with points and
-        commas, so plain texts are lowered and split there too: fewer runs are
-        distinct. Beyond Latin-1, where lower() may look at neighbours and
-        characters may combine, texts stay as they are. Special tokens are
-        matched on the raw text, so texts that may hold one are one run.
-        """
-        if "<|" in text:
-            return [text]
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.replace("\n", " ").split(" ")
-        return _STOP.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
+    def _engine(made: dict):
+        import tiktoken
+
+        model = made["model"]
+        words = [x["pattern"].get("Regex") for x in (made["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        if model["type"] != "BPE" or model.get("end_of_word_suffix") != WORD_END or (made["normalizer"] or {}).get("normalizers") != NORMALIZER or words != [WORDS]:
+            return None
+        letters, ranks = _bytes_of_letters(), {}
+        for token, number in model["vocab"].items():
+            body = token.removesuffix(WORD_END)
+            if all(c in letters for c in body):
+                ranks[bytes(letters[c] for c in body) + (b"\0" if body != token else b"")] = number
+        return tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        single = list(dict.fromkeys(texts))
-        split = [self.runs(text) for text in single]
-        if len(self.known) > CACHED_WORDS:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        # Lookups by the run go to a table of this batch alone, which stays in
-        # the processor's cache; the large one is asked once for each run.
-        distinct = set().union(*split)
-        local = dict(zip(distinct, map(known.get, distinct), strict=True))
-        new = [run for run, ids in local.items() if ids is None]
-        again = {run: ids for run, ids in zip(new, map(older.get, new), strict=True) if ids is not None}
-        fresh = [run for run in new if run not in again]
-        again.update(zip(fresh, self._encoded(fresh), strict=True))
-        local.update(again)
-        known.update((run, ids) for run, ids in again.items() if len(run) <= CACHED_LENGTH)
-        out = {text: b"".join(map(local.__getitem__, runs)) for text, runs in zip(single, split, strict=True)}
-        return [out[text] for text in texts]
-
-
-_caches: dict[str, TokenCache] = {}
-
-
-def cached(path: str) -> TokenCache:
-    """The tokenizer of this Python worker, with the runs that earlier tasks met."""
-    if path not in _caches:
-        _caches[path] = TokenCache(path)
-    return _caches[path]
+        out: list[bytes | None] = []
+        for text in texts:
+            words = _WORD.findall(text.lower()) if self.fast and "<|" not in text and _PLAIN.fullmatch(text) else None
+            if words is None or (words and max(map(len, words)) > LONG_WORD):
+                out.append(None)
+                continue
+            words.append("")
+            out.append(np.array(self.fast.encode_ordinary("\0".join(words)), dtype="<u4").tobytes())
+        others = [i for i, ids in enumerate(out) if ids is None]
+        for i, found in zip(others, self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, dtype="<u4").tobytes()
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The tokenizer of this Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class CapacityTree:
@@ -249,17 +231,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = None
+        coder = None
         ids, tokens, held, arrow = [], [], 0, None
         next_id = TaskContext.get().partitionId() << 32
         for batch in batches:
-            cache = cache or cached(tokenizer)
+            coder = coder or encoder(tokenizer)
             arrow = arrow or pa.schema(
                 [(id_col, batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
             )
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                encoded = [x + end for x in cache.encode([t or "" for t in part.column(1).to_pylist()])]
+                encoded = [x + end for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
                 ids += part.column(0).to_pylist()
                 tokens += encoded
                 held += sum(map(len, encoded)) // 4

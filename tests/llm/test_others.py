@@ -17,7 +17,7 @@ from siltstone.llm import langid, licenses, mixing, queries
 from siltstone.llm.langid import LanguageModel, Predictor, identify
 from siltstone.llm.licenses import license_scan
 from siltstone.llm.mixing import mix, targets
-from siltstone.llm.packing import CapacityTree, TokenCache, pack, pack_lengths
+from siltstone.llm.packing import CapacityTree, Encoder, pack, pack_lengths
 from siltstone.llm.url_filters import url_filter
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -56,7 +56,7 @@ def test_tree_finds_tightest(capacities, length):
 def test_pack_round_trip(docs_of):
     rows = [(1, "hello world. " * 3000), (2, None), (3, ""), (4, "Ünïcode, ÉÈ <|endoftext|> x" * 50), (5, "z" * 5000), (5, "z" * 5000), (None, "a b"), *[(10 + i, "word " * i) for i in range(60)]]
     pieces = pack(docs_of(rows).withColumn("start", F.lit("x")).withColumn("ids", F.lit(1)), PATH).collect()
-    tokenizer = TokenCache(PATH).tokenizer
+    tokenizer = Encoder(PATH).tokenizer
     whole = {}
     for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
         assert len(p.ids) == 4 * p.length
@@ -73,7 +73,7 @@ def test_pack_round_trip(docs_of):
     assert pack(docs_of([]), PATH).count() == 0
 
 
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="aAéÉßẞ.,' \n\t\x0b́Σσ1!<|>İ", max_size=60)))
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aAéÉßẞ.,' \n\t\x0b́Σσ1!<|>İ", max_size=60), st.text(alphabet="etaoinshrdlu THEAND'stvm.,1²ªÿ×÷’—", max_size=80)))
 @settings(max_examples=400, deadline=None)
 def test_runs_tokenise_alike(text):
     cache = _cache()
@@ -82,12 +82,20 @@ def test_runs_tokenise_alike(text):
 
 def _cache(made=[]):  # noqa: B006
     if not made:
-        made.append(TokenCache(PATH))
+        made.append(Encoder(PATH))
     return made[0]
 
 
+def test_random_words_tokenise_alike():
+    r, coder = random.Random(8), _cache()
+    letters = "eeettaaoiinnsshrrdlucmfwypvbgkqjxz" + "éèàüßñ" + "'.,-!?"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 14))) for _ in range(400)) for _ in range(60)] + ["x" * 60_000, "ab" * 300, "\0 a\0", "a\x85b\xa0c\x1fd"]
+    want = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert coder.fast is not None and coder.encode(texts) == want
+
+
 def test_special_tokens_keep_their_letters():
-    cache = TokenCache(PATH)
+    cache = Encoder(PATH)
     texts = ["a <|EndOfText|> b", "a <|endoftext|> b", "A <|STARTOFTEXT|>. b\nC", "<|", "x <| y"]
     want = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert cache.encode(texts) == want
