@@ -228,9 +228,11 @@ def license_scan(
     directories = stored(light.filter("__dir is not null").groupBy("__dir").agg(F.count("*").alias("__n")), "directories")
     parts = F.split(F.col("__dir"), "/")
     ups = directories.select("__dir", F.explode(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("__up"))
-    # Both sides grow with the corpus, so they are shuffled.
+    # All directories lie under the root, so ancestors are hot keys; both sides grow with the corpus.
+    ups = stored(ups, "ancestors")
+    asked = stored(ups.groupBy("__up").agg(F.count("*").alias("__m")).join(offers.hint("merge"), "__up"), "asked")
     nearest = (
-        ups.join(offers.hint("merge"), "__up")
+        matched(ups, asked, ["__up"], "__m")
         .groupBy("__dir")
         .agg(F.max_by(F.struct("__offer", "__up"), F.when(F.col("__up") == "", 0).otherwise(F.size(F.split("__up", "/")))).alias("__near"))
     )
