@@ -18,7 +18,8 @@ rows get equal results; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from siltstone.llm._work import bounded_batches
 
 # Bound of the training sample: documents a language, about. It is the only bound of the model.
-SAMPLE_DOCS = 3_000
+SAMPLE_DOCS = 1_000
 LONGEST = 5
 CACHED_WORDS = 200_000
 
@@ -41,6 +42,18 @@ def _grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class _Table:
+    """Log frequencies by key: a row number for each key, and one matrix."""
+
+    def __init__(self, keys: dict[str, int], counts: np.ndarray):
+        totals = counts.sum(axis=0) + 0.1 * len(counts)
+        self.keys, self.logs = keys, np.log((counts + 0.1) / totals).astype(np.float32)
+
+    def get(self, key: str) -> np.ndarray | None:
+        at = self.keys.get(key)
+        return None if at is None else self.logs[at]
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams by language."""
 
@@ -48,24 +61,22 @@ class LanguageModel:
         self.languages = sorted({lang for lang, _, _ in counts})
         number = {lang: i for i, lang in enumerate(self.languages)}
         size = len(self.languages)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
-        for lang, word, n in counts:
-            words[word][number[lang]] += n
-        self.words = self._logs(words)
-        self.grams = []
+        words: dict[str, int] = {}
+        at = [words.setdefault(word, len(words)) for _, word, _ in counts]
+        table = np.zeros((len(words), size))
+        np.add.at(table, (at, [number[lang] for lang, _, _ in counts]), [n for _, _, n in counts])
+        self.words, self.grams = _Table(words, table), []
         for n in range(1, LONGEST + 1):
-            table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(size))
+            grams: dict[str, int] = {}
+            place, owner = array("q"), array("q")
             for word, row in words.items():
-                for gram in _grams(word, n):
-                    table[gram] += row
-            self.grams.append(self._logs(table))
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        totals = sum(table.values()) + 0.1 * len(table)
-        return {key: np.log((row + 0.1) / totals).astype(np.float32) for key, row in table.items()}
+                found = _grams(word, n)
+                place.extend(grams.setdefault(gram, len(grams)) for gram in found)
+                owner.extend([row] * len(found))
+            sums = np.zeros((len(grams), size))
+            for lang in range(size):
+                sums[:, lang] = np.bincount(np.frombuffer(place, dtype=np.int64), weights=table[np.frombuffer(owner, dtype=np.int64), lang], minlength=len(grams)) if grams else 0
+            self.grams.append(_Table(grams, sums))
 
     def word(self, word: str) -> np.ndarray:
         """Log score of a word in each language."""
@@ -73,7 +84,7 @@ class LanguageModel:
         if row is not None:
             return row
         for n in range(LONGEST, 0, -1):
-            known = [self.grams[n - 1][g] for g in _grams(word, n) if g in self.grams[n - 1]]
+            known = [row for row in map(self.grams[n - 1].get, _grams(word, n)) if row is not None]
             if known:
                 return np.mean(known, axis=0)
         return np.zeros(len(self.languages), dtype=np.float32)
