@@ -141,6 +141,13 @@ def pattern_query(catalog: Catalog, request: dict) -> dict:
     chosen = catalog.tables["files"].filter(F.col("language") == request["language"])
     if request["file_paths"]:
         chosen = chosen.filter(F.col("file_path").isin(request["file_paths"]))
-    found = pattern.pattern_match(chosen, request["pattern"]).orderBy("file_path", "line")
-    rows = [r.asDict() for r in found.limit(request["limit"]).collect()]
-    return _page(rows, request["limit"], began) | {"total_found": found.count()}
+    # Both the rows and the total come from one run of the search.
+    found = pattern.pattern_match(chosen, request["pattern"]).persist()
+    try:
+        total = found.count()
+        rows = [r.asDict() for r in found.orderBy("file_path", "line").limit(request["limit"]).collect()]
+    except Exception as error:  # noqa: BLE001 - every failure is the user's or the system's
+        raise pattern.as_pattern_error(error) from error
+    finally:
+        found.unpersist()
+    return _page(rows, request["limit"], began) | {"total_found": total}

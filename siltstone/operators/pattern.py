@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,31 @@ class PatternSystemError(RuntimeError):
     """A failure that isn't the user's."""
 
 
+# What marks a message as the user's to mend; seconds that the search of one text may take.
+USER_MARKS = ("invalid", "unsupported", "outside project root", "timed out")
+TIMEOUT = 30.0
+
+
+def as_pattern_error(error: Exception) -> Exception:
+    """A failure of a search as the user's or the system's, by its message."""
+    if isinstance(error, (PatternError, PatternSystemError)):
+        return error
+    message = str(error)
+    return PatternError(message) if any(mark in message for mark in USER_MARKS) else PatternSystemError(message)
+
+
+class _Clock:
+    """Raises PatternError when a search takes too long; looks at the time every 1024 steps."""
+
+    def __init__(self, seconds: float):
+        self.steps, self.until = 0, time.monotonic() + seconds
+
+    def tick(self) -> None:
+        self.steps += 1
+        if not self.steps & 1023 and time.monotonic() > self.until:
+            raise PatternError("pattern search timed out")
+
+
 def check_request(request: dict) -> dict:
     """The request with defaults; raises PatternError on invalid values."""
     out = {"strictness": "smart", "context_lines": DEFAULT_CONTEXT, "limit": DEFAULT_LIMIT} | {k: v for k, v in request.items() if v is not None}
@@ -77,7 +103,8 @@ def _runs(tokens: list[str], at: int, single: bool, breaks: set[int]) -> Iterato
             yield i + 1
 
 
-def _match(pattern: list[str], p: int, tokens: list[str], at: int, bound: dict[str, tuple[int, int]], breaks: set[int]) -> Iterator[tuple[int, dict]]:
+def _match(pattern: list[str], p: int, tokens: list[str], at: int, bound: dict[str, tuple[int, int]], breaks: set[int], clock: _Clock) -> Iterator[tuple[int, dict]]:
+    clock.tick()
     if p == len(pattern):
         yield at, bound
         return
@@ -88,13 +115,14 @@ def _match(pattern: list[str], p: int, tokens: list[str], at: int, bound: dict[s
             known = bound.get(name)
             if known is not None and name != "_" and tokens[known[0] : known[1]] != tokens[at:end]:
                 continue
-            yield from _match(pattern, p + 1, tokens, end, bound | {name: (at, end)} if name else bound, breaks)
+            yield from _match(pattern, p + 1, tokens, end, bound | {name: (at, end)} if name else bound, breaks, clock)
     elif at < len(tokens) and tokens[at] == item:
-        yield from _match(pattern, p + 1, tokens, at + 1, bound, breaks)
+        yield from _match(pattern, p + 1, tokens, at + 1, bound, breaks, clock)
 
 
-def find(pattern: str, text: str | None) -> list[tuple]:
-    """Rows of SCHEMA: the matches in a text, from left to right, not overlapping."""
+def find(pattern: str, text: str | None, timeout: float = TIMEOUT) -> list[tuple]:
+    """Rows of SCHEMA: the matches in a text, from left to right, not overlapping; PatternError beyond the time limit."""
+    clock = _Clock(timeout)
     wanted = _TOKEN.findall(pattern)
     found = list(_TOKEN.finditer(text or ""))
     tokens = [m[0] for m in found]
@@ -102,7 +130,8 @@ def find(pattern: str, text: str | None) -> list[tuple]:
     breaks = {i for i in range(1, len(found)) if "\n" in text[found[i - 1].end() : found[i].start()]}
     out, at = [], 0
     while at < len(tokens):
-        hit = next(_match(wanted, 0, tokens, at, {}, breaks), None)
+        clock.tick()
+        hit = next(_match(wanted, 0, tokens, at, {}, breaks, clock), None)
         if hit is None or hit[0] == at:
             at += 1
             continue

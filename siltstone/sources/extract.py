@@ -3,7 +3,8 @@
 Python is parsed with its own grammar. For the other languages no parser is at
 hand, so declarations are recognised by line patterns and matching of brackets,
 a documented subset: top-level and member declarations that begin on a line of
-their own. Strings that hold brackets or declarations can mislead it.
+their own. In Go, comments and strings are blanked first; in the others,
+strings that hold brackets or declarations can mislead it.
 """
 
 from __future__ import annotations
@@ -133,35 +134,46 @@ _GO_CALL = re.compile(r"\b((?:\w+\.)*\w+)\(")
 _GO_WORDS = {"func", "if", "for", "switch", "select", "return", "go", "defer", "make", "new", "len", "cap", "append", "copy", "delete", "panic", "recover", "print", "println", "close", "string", "int", "int64", "float64", "byte", "error", "range"}
 
 
+_GO_QUOTED = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*(?:`|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+
+
+def go_code(text: str) -> str:
+    """The text with comments, strings and runes blanked; line ends and columns stay."""
+    return _GO_QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
 def go_structure(text: str) -> Structure:
-    """Types, functions, methods, values, imports and calls of a Go file."""
-    out, lines = Structure(), text.split("\n")
+    """Types, functions, methods, values, imports and calls of a Go file.
+
+    Declarations and brackets are looked for outside of comments and strings.
+    """
+    out, lines, code = Structure(), text.split("\n"), go_code(text).split("\n")
     i, group = 0, ""
     while i < len(lines):
-        line = lines[i]
+        line = code[i]
         bare = line.strip()
         if match := re.match(r"package\s+(\w+)", line):
             out.package = match[1]
         elif re.match(r"import\s*\(", line):
             group = "import"
-        elif match := re.match(r'import\s+(?:[\w.]+\s+)?"([^"]+)"', line):
+        elif re.match(r"import\s", line) and (match := re.match(r'import\s+(?:[\w.]+\s+)?"([^"]+)"', lines[i])):
             out.imports.append((match[1], i + 1))
         elif match := re.match(r"(const|var|type)\s*\($", line.rstrip()):
             group = match[1]
         elif bare == ")" and group:
             group = ""
         elif group == "import":
-            if match := re.search(r'"([^"]+)"', line):
+            if match := re.match(r'\s*(?:[\w.]+\s+)?"([^"]+)"', lines[i]):
                 out.imports.append((match[1], i + 1))
         elif group in ("const", "var"):
             if match := re.match(r"(\w+)", bare):
-                out.items.append(Item("constant" if group == "const" else "variable", match[1], i + 1, i + 1, bare))
+                out.items.append(Item("constant" if group == "const" else "variable", match[1], i + 1, i + 1, lines[i].strip()))
         elif (line.startswith("type ") or group == "type") and (match := _GO_TYPE.match(bare)):
             name, kind = match[1] or match[3], match[2] or "alias"
-            last = _span(lines, i) if kind in ("struct", "interface") and "{" in line else i
+            last = _span(code, i) if kind in ("struct", "interface") and "{" in line else i
             item = Item(kind, name, i + 1, last + 1, "\n".join(lines[i : last + 1]), "", [], [match[4]] if match[4] else [])
-            for member in lines[i + 1 : last]:
-                member = member.split("//")[0].strip()
+            for member in code[i + 1 : last]:
+                member = member.strip()
                 if found := re.match(r"(\w+)\s*(\(.*)", member):
                     item.members.append((found[1] + "()", found[2]))
                 elif found := re.match(r"([\w, ]+?)\s+([^`]+)", member):
@@ -171,8 +183,8 @@ def go_structure(text: str) -> Structure:
             out.items.append(item)
             i = last
         elif line.startswith("func ") and (match := _GO_FUNC.match(line)):
-            last = _span(lines, i)
-            head = "\n".join(lines[i : last + 1]).split("{\n")[0]
+            last = _span(code, i)
+            head = "\n".join(part.rstrip() for part in code[i : last + 1]).split("{\n")[0]
             opening = match.end() - 1
             closing = _balanced(head, opening)
             tail = head[closing:].strip().rstrip("{").strip()
@@ -181,10 +193,10 @@ def go_structure(text: str) -> Structure:
             out.items.append(Item("method" if owner else "function", match[3], i + 1, last + 1, head.split("\n")[0].rstrip("{ ").rstrip(), owner, _split(head[opening + 1 : closing - 1]), returns))
             name = f"{owner}.{match[3]}" if owner else match[3]
             for at in range(i + 1, last + 1):
-                out.calls += [(name, c, at + 1) for c in _GO_CALL.findall(lines[at].split("//")[0]) if c not in _GO_WORDS]
+                out.calls += [(name, c, at + 1) for c in _GO_CALL.findall(code[at]) if c not in _GO_WORDS]
             i = last
         elif match := _GO_VALUE.match(line):
-            out.items.append(Item("constant" if match[1] == "const" else "variable", match[2], i + 1, i + 1, bare))
+            out.items.append(Item("constant" if match[1] == "const" else "variable", match[2], i + 1, i + 1, lines[i].strip()))
         i += 1
     return out
 

@@ -13,18 +13,19 @@ from pyspark.sql.window import Window
 
 QUIET = "500 milliseconds"
 # Limits of a watch: files a batch, and folders that are never watched.
-MAX_FILES = 1000
+MAX_FILES, MAX_DEPTH = 1000, 10
 SKIPPED = (".git", "node_modules", ".siltstone")
 
 
-def file_stream(spark: SparkSession, root: str, extensions: list[str] | None = None, max_files: int = MAX_FILES) -> DataFrame:
-    """New files under a folder as a stream of (path, modificationTime, length, content)."""
+def file_stream(spark: SparkSession, root: str, extensions: list[str] | None = None, max_files: int = MAX_FILES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """New files under a folder, at most so many folders deep, as a stream of (path, modificationTime, length, content)."""
     reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
     skipped = "|".join(re.escape(name) for name in SKIPPED)
     files = reader.schema("path string, modificationTime timestamp, length long, content binary").load(root)
-    return files.filter(~F.col("path").rlike(f"/(?:{skipped})/"))
+    below = F.substring_index("path", root.rstrip("/").removeprefix("file:").rstrip("/") + "/", -1)
+    return files.filter(~F.col("path").rlike(f"/(?:{skipped})/") & (F.size(F.split(below, "/")) - 1 <= max_depth))
 
 
 def debounced(events: DataFrame, keys: list[str], time_col: str, item_col: str, gap: str, watermark: str | None = None) -> DataFrame:
@@ -82,6 +83,31 @@ class Watcher:
             self.query = None
 
 
+class BranchSwitch:
+    """Indexes anew when the branch changes: the watcher pauses, the whole index is made, the watcher goes on.
+
+    What changes meanwhile waits in the stream's source; the watcher resumes
+    even if indexing fails.
+    """
+
+    def __init__(self, watcher: Watcher, reindex: Callable[[str], None], branch: str | None = None):
+        self.watcher, self.reindex, self.branch = watcher, reindex, branch
+
+    def saw(self, branch: str) -> bool:
+        """Take note of the branch; true if it changed and the index was made anew."""
+        if branch == self.branch:
+            return False
+        before, self.branch = self.branch, branch
+        if before is None:
+            return False
+        self.watcher.pause()
+        try:
+            self.reindex(branch)
+        finally:
+            self.watcher.resume()
+        return True
+
+
 class ReloadMetrics:
     """Counters of reloads: how many, how many failed, the last duration and error."""
 

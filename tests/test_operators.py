@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -238,6 +239,13 @@ def test_extract_go():
     assert "Package: graph" in symbols and "- Reader (interface) (lines 10-13)" in symbols and "// (line 8)\nconst Max = 6" == data
 
 
+def test_go_strings_and_comments_do_not_mislead():
+    text = 'package p\n\nimport (\n\t// "no/such"\n\t"fmt"\n)\n\n/*\ntype Hidden struct {\n*/\n\nfunc A() string {\n\ts := "} func B() {"\n\tr := \'{\'\n\tt := `\ntype C struct {\n`\n\t// fmt.Gone(x)\n\treturn fmt.Sprint(s, r, t)\n}\n\ntype D struct {\n\tX int `json:"x{"` // {\n}\n'
+    found = extract.go_structure(text)
+    assert [(x.name, x.first, x.last) for x in found.items] == [("A", 12, 20), ("D", 22, 24)]
+    assert found.imports == [("fmt", 5)] and [c[1] for c in found.calls] == ["fmt.Sprint"] and found.items[1].members == [("X", "int")]
+
+
 @pytest.mark.parametrize(
     ("language", "text", "names"),
     [
@@ -256,6 +264,35 @@ def test_extract_others(language, text, names):
     assert extract.structure("def (", "python").items == []
 
 
+def test_pattern_is_bounded():
+    began = time.monotonic()
+    with pytest.raises(pattern.PatternError, match="timed out"):
+        pattern.find("$$$A x $$$B y $$$C z $$$D q", "x y z " * 3000, timeout=0.5)
+    assert time.monotonic() - began < 20
+    assert isinstance(pattern.as_pattern_error(ValueError("invalid rule")), pattern.PatternError)
+    assert isinstance(pattern.as_pattern_error(OSError("disk")), pattern.PatternSystemError)
+
+
+def test_marks_phrases_and_index(spark):
+    docs = spark.createDataFrame([(1, "Café au lait"), (2, "cafe_au-lait, a a a"), (3, None), (4, ""), (5, "au cafe")], "id int, text string")
+    assert _ids(fulltext.match(docs, '"café au"'), "id") == [1, 2] and _ids(fulltext.match(docs, "café", fold=False), "id") == [1]
+    counts = docs.filter("id = 2").select(fulltext.occurrences(fulltext.spaced(F.col("text")), fulltext.Phrase(("a", "a"))).alias("n"), fulltext.occurrences(fulltext.spaced(F.col("text")), fulltext.Phrase(("ca",), True)).alias("p")).first()
+    assert (counts.n, counts.p) == (2, 1)
+    index = fulltext.postings(docs, "id")
+    for query in ('"cafe au"', "lait NOT a", 'lait OR "au cafe"', "caf*"):
+        assert _ids(fulltext.match_postings(index, query, "id"), "id") == _ids(fulltext.match(docs, query), "id")
+    changed = spark.createDataFrame([(1, None), (5, "new text")], docs.schema)
+    after = fulltext.update_postings(index, changed, docs.filter("id = 4").select("id"), "id")
+    assert {(r.id, r.term) for r in after.collect()} == {(2, "cafe"), (2, "au"), (2, "lait"), (2, "a"), (5, "new"), (5, "text")}
+
+
+def test_components_with_cycles(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (7, 7), (8, 9), (9, 10), (6, 11), (4, 12), (12, 4)]
+    found = graph.circular(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    assert _ids(found, "node") == [1, 2, 3, 4, 5, 6, 7, 12]
+    assert graph.circular(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
 def test_pattern():
     assert [(r[0], r[3]) for r in pattern.find("fmt.Println($A, $$$B)", "x\nfmt.Println(f(1, 2), b, c)\n")] == [(2, {"A": "f(1, 2)", "B": "b, c"})]
     assert pattern.find("$A == $A", "x == y") == [] and pattern.find("$A == $A", "x == x")[0][3] == {"A": "x"}

@@ -1,6 +1,6 @@
 import json
 
-from siltstone.streaming.watch import ReloadMetrics, Watcher, branch_changes, debounced
+from siltstone.streaming.watch import BranchSwitch, ReloadMetrics, Watcher, branch_changes, debounced
 
 
 def test_watch_pauses_without_loss(spark, tmp_path):
@@ -41,3 +41,18 @@ def test_metrics():
     metrics.record(1.0)
     metrics.record(2.0, ValueError("x"))
     assert metrics.snapshot() == {"reloads": 2, "failures": 1, "last_ms": 2.0, "last_error": "x"}
+
+
+def test_branch_switch_pauses_and_resumes():
+    said = []
+
+    class Quiet:
+        def pause(self):
+            said.append("pause")
+
+        def resume(self):
+            said.append("resume")
+
+    switch = BranchSwitch(Quiet(), lambda branch: said.append(branch))
+    assert [switch.saw(b) for b in ("main", "main", "dev", "dev", "main")] == [False, False, True, False, True]
+    assert said == ["pause", "dev", "resume", "pause", "main", "resume"]
