@@ -43,7 +43,7 @@ _MARKED, _BARE = _marked_letters()
 
 def fold_marks(text: Column) -> Column:
     """The text without diacritics: of letters that have them, and standing alone."""
-    return F.regexp_replace(F.translate(text, _MARKED, _BARE), "\\p{Mn}+", "")
+    return F.when(text.rlike("[^\\x00-\\x7f]"), F.regexp_replace(F.translate(text, _MARKED, _BARE), "\\p{Mn}+", "")).otherwise(text)
 
 
 def spaced(text: Column, fold: bool = True) -> Column:
@@ -197,7 +197,8 @@ def bm25(corpus: DataFrame, query: str, text_col: str = "text", fold: bool = Tru
         length = F.regexp_count(text, F.lit(" (?=[^ ])")).alias("dl")
         return F.struct(length, *[occurrences(text, p, fold).alias(n) for p, n in zip(every, names, strict=True)])
 
-    base = corpus.filter(F.col(text_col).isNotNull()).withColumn("__c", let(spaced(F.col(text_col), fold), counted))
+    # The counts come out of a generator, which filters and later columns can't reach through to count again.
+    base = corpus.filter(F.col(text_col).isNotNull()).select("*", F.explode(F.array(let(spaced(F.col(text_col), fold), counted))).alias("__c"))
     stats = base.agg(
         F.count("*").alias("__n"), F.avg("__c.dl").alias("__avgdl"), *[F.sum((F.col(f"__c.{n}") > 0).cast("long")).alias(f"__df_{n}") for n in names]
     )
