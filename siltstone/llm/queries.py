@@ -91,9 +91,9 @@ def list_entries(pages: DataFrame) -> DataFrame:
     even length are allowed 60 days later and those divisible by five removed
     after 150. Every host under ``example.net`` is allowed as a host from July on.
     The last two labels of the hosts are listed as domains from March on where
-    their length is even. First path segments of even length are listed as
-    prefixes of their host from May on, and removed in September where four
-    divides their length.
+    their length is even. Hosts with their first path segment are listed as
+    prefixes from May on where the length leaves 1 when divided by three, and
+    removed in September where it leaves 1 when divided by six.
     """
     hosts = pages.select(host_of(F.col("url")).alias("value")).filter("value != ''").distinct().withColumn("n", F.length("value"))
     start = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(n * 7 % 200)")
@@ -108,12 +108,12 @@ def list_entries(pages: DataFrame) -> DataFrame:
     parents = hosts.select(F.regexp_extract("value", r"([^.]+\.[^.]+)$", 1).alias("value")).filter("value != ''").distinct()
     segment = F.get(F.filter(F.split(path_of(F.col("url")), "/"), lambda x: x != ""), F.lit(0))
     below = pages.select(host_of(F.col("url")).alias("host"), segment.alias("part")).filter("host != '' and part is not null").distinct()
-    below = below.select(F.lower(F.concat("host", F.lit("/"), "part")).alias("value"), F.length("part").alias("n")).distinct()
+    below = below.select(F.lower(F.concat("host", F.lit("/"), "part")).alias("value")).distinct().withColumn("n", F.length("value"))
     return (
         entry("domain", "block", n % 3 == 0, 0)
         .unionByName(parents.filter(F.length("value") % 2 == 0).select(*dated("domain", "block", "2024-03-01 06:00:00")))
-        .unionByName(below.filter(n % 2 == 0).select(*dated("prefix", "block", "2024-05-01 00:00:00")))
-        .unionByName(below.filter(n % 4 == 0).select(*dated("prefix", "remove", "2024-09-01 00:00:00")))
+        .unionByName(below.filter(n % 3 == 1).select(*dated("prefix", "block", "2024-05-01 00:00:00")))
+        .unionByName(below.filter(n % 6 == 1).select(*dated("prefix", "remove", "2024-09-01 00:00:00")))
         .unionByName(entry("domain", "allow", (n % 3 == 0) & (n % 2 == 0), 60))
         .unionByName(entry("domain", "remove", (n % 3 == 0) & (n % 5 == 0), 150))
         .unionByName(
@@ -189,15 +189,15 @@ SQL = {
                    TIMESTAMP '2024-01-01' + to_days(CAST(length(host) * 7 % 200 AS INT)) AS start
             FROM p WHERE host <> ''
         ), up AS (SELECT DISTINCT regexp_extract(value, '([^.]+\.[^.]+)$', 1) AS value FROM h
-        ), below AS (SELECT DISTINCT lower(host || '/' || part) AS value, length(part) AS n FROM p WHERE host <> '' AND part IS NOT NULL
+        ), below AS (SELECT DISTINCT lower(host || '/' || part) AS value, length(host || '/' || part) AS n FROM p WHERE host <> '' AND part IS NOT NULL
         ), e AS (
             SELECT 'domain' AS kind, value, 'block' AS action, start AS listed_at FROM h WHERE n % 3 = 0
             UNION ALL SELECT 'domain', value, 'allow', start + to_days(60) FROM h WHERE n % 3 = 0 AND n % 2 = 0
             UNION ALL SELECT 'domain', value, 'remove', start + to_days(150) FROM h WHERE n % 3 = 0 AND n % 5 = 0
             UNION ALL SELECT 'host', value, 'allow', TIMESTAMP '2024-07-01' FROM h WHERE value LIKE '%.example.net'
             UNION ALL SELECT 'domain', value, 'block', TIMESTAMP '2024-03-01 06:00:00' FROM up WHERE value <> '' AND length(value) % 2 = 0
-            UNION ALL SELECT 'prefix', value, 'block', TIMESTAMP '2024-05-01' FROM below WHERE n % 2 = 0
-            UNION ALL SELECT 'prefix', value, 'remove', TIMESTAMP '2024-09-01' FROM below WHERE n % 4 = 0
+            UNION ALL SELECT 'prefix', value, 'block', TIMESTAMP '2024-05-01' FROM below WHERE n % 3 = 1
+            UNION ALL SELECT 'prefix', value, 'remove', TIMESTAMP '2024-09-01' FROM below WHERE n % 6 = 1
         ), listed AS (
             SELECT p.page_id, e.kind, e.value, arg_max(e.action, e.listed_at) AS action, max(e.listed_at) AS listed_at
             FROM p JOIN e ON e.listed_at <= p.fetched_at
