@@ -134,6 +134,39 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages.withColumn("fetched_at", at), list_entries(pages)).drop("url")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_quality_rules that SQL can express: counts and base verdict of all documents."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_packing promises of all documents whatever the token ids.
+
+    ``gapless``: the pieces follow each other from 0 to doc_tokens; ``fits``:
+    every piece lies within 4096 places; ``empty``: the end token stands alone,
+    as for texts of blanks.
+    """
+    pieces = op7_packing(spark, sf_dir).withColumn("stop", F.col("start") + F.col("length"))
+    starts = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    per = pieces.groupBy("doc_id").agg(starts.alias("p"), F.max("doc_tokens").alias("n"), F.max(F.col("offset") + F.col("length")).alias("most"), F.min("length").alias("least"))
+    first, last = F.get("p", F.lit(0))["start"], F.element_at("p", -1)["stop"]
+    chained = F.forall(F.transform("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["stop"] == x["start"])), lambda x: x)
+    return per.select(
+        "doc_id", ((first == 0) & (last == F.col("n")) & chained).alias("gapless"), ((F.col("most") <= 4096) & (F.col("least") > 0)).alias("fits"), (F.col("n") == 1).alias("empty")
+    )
+
+
+def language_undecided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_language_id that SQL can express: which documents have no language, and sane scores."""
+    found = op8_language_id(spark, sf_dir)
+    return found.select("doc_id", (F.col("lang_pred") == "und").alias("undecided"), F.col("score").between(0, 1).alias("in_range"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_mixing that SQL can express: sizes, targets, and that no document exceeds twice its size."""
+    return op9_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target", (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scan": op2_license_scan,
@@ -145,6 +178,10 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "quality_counts": quality_counts,
+    "packing_totals": packing_totals,
+    "language_undecided": language_undecided,
+    "mixing_targets": mixing_targets,
 }
 
 SQL = {
@@ -231,4 +268,43 @@ SQL = {
                    list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(gone, i)), lambda i: lines[i]), chr(10)), '') END) AS text_sha256
         FROM l LEFT JOIN gone USING (doc_id)
     """,
+    "quality_counts": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d)
+        ), again AS (
+            SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+               CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+               CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+               len(words) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(words) AS base_failed
+        FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+    """,
+    "packing_totals": r"SELECT doc_id, true AS gapless, true AS fits, NOT regexp_matches(coalesce(text, ''), '[^\x20\x09-\x0D]') AS empty FROM documents",
+    "language_undecided": r"SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS undecided, true AS in_range FROM documents",
+    "mixing_targets": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS s, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w FROM d GROUP BY source
+        ), filled AS (
+            -- Sources reach their stop in the order of size by weight; before each, rest is what the earlier ones leave.
+            SELECT *, 1.5::DOUBLE * sum(s) OVER () - coalesce(sum(2 * s) OVER (ORDER BY s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                   sum(w) OVER (ORDER BY s / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight
+            FROM s
+        ), free AS (
+            SELECT rest, weight, row_number() OVER (ORDER BY s / w, source) AS nth FROM filled WHERE 2 * s * weight > rest * w
+        ), t AS (
+            SELECT filled.source, s, CASE WHEN f.rest IS NULL OR 2 * s * f.weight <= f.rest * w THEN 2.0::DOUBLE * s ELSE f.rest * w / f.weight END AS target
+            FROM filled LEFT JOIN (SELECT * FROM free WHERE nth = 1) f ON true
+        )
+        SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target, true AS within FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    """,
 }
