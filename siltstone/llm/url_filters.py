@@ -5,9 +5,9 @@ a path prefix) with an action from a date on. Entries of one value follow each
 other, so they become validity intervals; ``remove`` ends a listing. A capture
 is judged by the entries that were active when it was fetched: its possible
 values (host suffixes, host, path prefixes) are reduced to distinct (kind,
-value, day); an as-of window over those days and the value's entries gives each
-day the entry that holds when it begins and those that begin during it, and
-captures join their day. The most specific active entry decides.
+value, day); as-of windows over a value's months and over the days of a month
+give each day the entry that holds when it begins and those that begin during
+it, and captures join their day. The most specific active entry decides.
 
 Cases: null or malformed URLs and captures without a fetch time match nothing
 and pass. Of entries with equal kind, value and time, ``block`` wins over
@@ -50,6 +50,11 @@ def single_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+def _preceding(what: str, group: list[str], order: str) -> Column:
+    """The last value before a row of its group."""
+    return F.last(what, ignorenulls=True).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def _day(time: Column) -> Column:
     return F.to_date(time)
 
@@ -100,9 +105,13 @@ def url_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", ti
     during = single.select("kind", "value", _day(F.col("since")).alias("day"), entry.alias("entry")).groupBy(*keys).agg(
         F.array_sort(F.collect_list("entry")).alias("begun"), F.max("entry").alias("last")
     )
-    both = days.join(during, keys, "full")
-    before = F.last("last", ignorenulls=True).over(Window.partitionBy("kind", "value").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
-    groups = both.withColumn("before", before).filter("n is not null and (before is not null or begun is not null)")
+    both = stored(days.join(during, keys, "full").withColumn("month", F.trunc("day", "month")), "days")
+    # Values that are asked for on many days are split: first over the months in which entries begin, then within a month.
+    by_month = [*keys[:2], "month"]
+    months = both.groupBy(*by_month).agg(F.max("last").alias("latest")).withColumn("earlier", _preceding("latest", keys[:2], "month"))
+    within = _preceding("last", by_month, "day")
+    before = F.coalesce("within", "earlier")
+    groups = both.withColumn("within", within).join(months.select(*by_month, "earlier"), by_month).withColumn("before", before).filter("n is not null and (before is not null or begun is not null)")
     groups = stored(groups.select(*keys, "n", F.concat(F.when(F.col("before").isNotNull(), F.array("before")).otherwise(F.array().cast(both.schema["begun"].dataType)), F.coalesce("begun", F.array().cast(both.schema["begun"].dataType))).alias("entries")), "listed")
     active = F.filter("entries", lambda e: e["since"] <= F.col("__at"))
     hits = matched(asked, groups, keys, "n").withColumn("entry", F.element_at(F.concat(F.array(F.lit(None).cast(both.schema["last"].dataType)), active), -1))

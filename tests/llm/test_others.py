@@ -442,3 +442,22 @@ def test_entries_hold_in_their_time(spark):
     hours = spark.createDataFrame([("domain", "bad.com", a, datetime(2024, 2, 2, h)) for h, a in ((8, "block"), (10, "allow"), (12, "remove"), (14, "block"))], e.schema)
     assert {r.page_id: r.action for r in url_filter(wild, hours).collect()} == {1: "block", 2: "pass", 3: "allow", 4: "block"}
     assert url_filter(c.limit(0), e).count() == 0
+
+
+def test_many_changes_like_brute_force(spark):
+    random.seed(4)
+    at = lambda: datetime(2023 + random.randrange(2), random.randint(1, 12), random.randint(1, 28), random.randrange(24))
+    entries = [("domain", random.choice(["a.com", "b.a.com"]), random.choice(["block", "allow", "remove"]), at()) for _ in range(60)]
+    entries = [("domain", value, action, since) for (value, since), action in {(v, t): a for _, v, a, t in entries}.items()]
+    captures = [(i, random.choice(["http://a.com/", "http://b.a.com/x"]), at()) for i in range(300)]
+    e = spark.createDataFrame(entries, "kind string, value string, action string, listed_at timestamp")
+    c = spark.createDataFrame(captures, "page_id int, url string, fetched_at timestamp")
+    found = {r.page_id: r.action for r in url_filter(c, e).collect()}
+    for i, url, when in captures:
+        verdict = "pass"
+        for value in ("b.a.com", "a.com") if "b." in url else ("a.com",):
+            active = max((t, a) for _, v, a, t in [*entries, ("", value, "remove", datetime(1, 1, 1))] if v == value and t <= when)[1]
+            if active != "remove":
+                verdict = active
+                break
+        assert found[i] == verdict
