@@ -2,9 +2,11 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from siltstone.functions import scalars as sc
 from siltstone.operators import vector
 
 
@@ -15,3 +17,22 @@ def test_mock_embedding_rounds_words_to_floats(spark):
         digest = hashlib.sha256(row.text.encode()).hexdigest()
         words = np.array([int(digest[8 * j : 8 * j + 8], 16) for j in range(8)]).astype(np.float32)
         assert row.v == (words / np.float32(4294967296) * np.float32(2) - np.float32(1)).tolist()
+
+
+def test_rounds_as_sql_does(spark):
+    values = [-1e-9, 0.0, -0.0, 1e-9, 0.59455, 0.594550013, 2.0000005, -2.0000015, 1.0000025, 0.03125, 5e-7, -5e-7, 1e300, -1e305, 123456789.1234565]
+    values += np.random.default_rng(3).normal(size=500).round(7).tolist()
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    for places in (4, 6):
+        got = [repr(r.r) for r in df.select("i", sc.rounded(F.col("x"), places).alias("r")).orderBy("i").collect()]
+        want = duckdb.execute(f"SELECT round(x, {places}) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
+        assert got == [repr(w[0]) for w in want]
+    odd = spark.createDataFrame([(float("nan"),), (float("-inf"),), (None,)], "x double").select(sc.rounded(F.col("x"), 6).alias("r")).collect()
+    assert [repr(r.r) for r in odd] == ["nan", "-inf", "None"]
+
+
+def test_normalized_zero_keeps_its_sign(spark, tmp_path):
+    from siltstone.plans import registry
+
+    spark.createDataFrame([(1, [1.0, -1e-8])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert repr(registry.queries()["vec_normalize"](spark, str(tmp_path)).first().unit) == "[1.0, -0.0]"
