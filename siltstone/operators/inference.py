@@ -1,8 +1,8 @@
 """Which structs implement which interfaces, by relational division.
 
-Interfaces' methods join structs' methods on the signature; a struct that
-matches as many distinct methods as the interface has implements it. Only
-interfaces without methods meet every struct.
+Interfaces' methods join those of structs' distinct method sets on the
+signature; structs whose set matches as many distinct methods as the interface
+has implement it. Only interfaces without methods meet every struct.
 """
 
 from __future__ import annotations
@@ -15,11 +15,21 @@ from siltstone.work import cut
 
 
 def divide(required: DataFrame, offered: DataFrame, wanted: str, giver: str, keys: list[str]) -> DataFrame:
-    """Pairs (giver, wanted) in which the giver offers all keys that are required."""
+    """Pairs (giver, wanted) in which the giver offers all keys that are required.
+
+    Keys are matched once for each distinct set of them, and givers get what
+    their set fits: however many givers share a key, they don't meet in one
+    task, and no row a giver, wanted and key is made. Keys are texts, numbers
+    and structs or arrays of these.
+    """
     need = required.select(wanted, *keys).distinct()
     sizes = need.groupBy(wanted).agg(F.count("*").alias("__need"))
-    hits = offered.select(giver, *keys).distinct().join(need, keys).groupBy(giver, wanted).agg(F.count("*").alias("__hit"))
-    return hits.join(sizes, wanted).filter("__hit = __need").select(giver, wanted)
+    name = F.sha2(F.to_json("__set"), 256).alias("__name")
+    sets = offered.groupBy(giver).agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("__set"))
+    parts = sets.select("__set").distinct().select(name, F.inline("__set"))
+    hits = parts.join(need, keys).groupBy("__name", wanted).agg(F.count("*").alias("__hit"))
+    fits = hits.join(sizes, wanted).filter("__hit = __need").groupBy("__name").agg(F.collect_list(wanted).alias("__fits"))
+    return sets.select(giver, name).join(fits, "__name").select(giver, F.explode("__fits").alias(wanted))
 
 
 def infer_implements(types: DataFrame, fields: DataFrame, functions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as sc
-from siltstone.operators import vector
+from siltstone.operators import inference, vector
 
 
 def test_mock_embedding_rounds_words_to_floats(spark):
@@ -36,3 +36,36 @@ def test_normalized_zero_keeps_its_sign(spark, tmp_path):
 
     spark.createDataFrame([(1, [1.0, -1e-8])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert repr(registry.queries()["vec_normalize"](spark, str(tmp_path)).first().unit) == "[1.0, -0.0]"
+
+
+def _join_rows(df):
+    """Rows that each join of the executed plan gave."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if "Join" in kind:
+            found.append(node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.length())]
+    return found
+
+
+def test_division_matches_keys_once_a_set(spark):
+    givers = [(g, k) for g in range(600) for k in "abc"] + [(g, k) for g in range(600, 630) for k in ("a", None)] * 2
+    wanted = [(w, k) for w in range(20) for k in "abc"] + [(20, "a"), (21, None), (22, "a"), (22, None), (23, "z")]
+    offered = spark.createDataFrame(givers, "giver int, k string").select("giver", F.struct("k", F.array("k").alias("ks")).alias("s"), "k")
+    required = spark.createDataFrame(wanted, "wanted int, k string").select("wanted", F.struct("k", F.array("k").alias("ks")).alias("s"), "k")
+    out = inference.divide(required, offered, "wanted", "giver", ["k", "s"])
+    # A row a giver, wanted and key would be 36,000 and more.
+    assert max(_join_rows(out)) <= 630
+    pairs = [tuple(r) for r in out.select("giver", "wanted").collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(g, w) for g in range(600) for w in range(21)} | {(g, 20) for g in range(600, 630)}
