@@ -69,3 +69,13 @@ def test_division_matches_keys_once_a_set(spark):
     pairs = [tuple(r) for r in out.select("giver", "wanted").collect()]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == {(g, w) for g in range(600) for w in range(21)} | {(g, 20) for g in range(600, 630)}
+
+
+def test_infer_all_makes_no_row_a_struct_interface_and_method(spark):
+    types = spark.createDataFrame([(f"s{i}", "struct") for i in range(300)] + [(f"i{i}", "interface") for i in range(20)], "type_id string, kind string")
+    fields = spark.createDataFrame([(f"i{i}", m, "", True, 1, None, m) for i in range(20) for m in ("Read", "Close")], "type_id string, name string, field_type string, is_method boolean, param_count int, return_count int, field_id string")
+    functions = spark.createDataFrame([(f"s{i}", m, 1, 0, m) for i in range(300) for m in ("Read", "Close")], "receiver_type_id string, name string, param_count int, return_count int, function_id string")
+    out = inference.infer_all(types, fields, functions, "my.org/mod/")
+    # Of structs and methods joined to their types there are 600 rows, of matches by method 12,000.
+    assert max(_join_rows(out)) <= 600
+    assert out.select("relationship_id").distinct().count() == 6000
