@@ -217,10 +217,36 @@ def search(corpus: DataFrame, query: str, key: str, limit: int | None = None, wh
     return (found.filter(where) if where is not None else found).orderBy(F.desc("score"), key).limit(clamp_limit(limit))
 
 
+def _entries(texts: Column, fold: bool) -> Column:
+    """Array of (term, tf, positions) of an array of texts, each term once, in time n log n."""
+    places = F.flatten(F.transform(texts, lambda t: F.transform(tokens(t, fold), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))))
+
+    def entries(ordered: Column) -> Column:
+        # Where a run of equal terms begins.
+        begins = F.filter(F.transform(ordered, lambda _, i: i), lambda i: (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]))
+
+        def entry(begins: Column, at: Column, j: Column) -> Column:
+            tf = F.coalesce(F.get(begins, j + 1), F.size(ordered)) - at
+            positions = F.transform(F.slice(ordered, at + 1, tf), lambda x: x["pos"])
+            return F.struct(F.get(ordered, at)["term"].alias("term"), tf.cast("long").alias("tf"), positions.alias("positions"))
+
+        return let(begins, lambda b: F.transform(b, lambda at, j: entry(b, at, j)))
+
+    return let(F.sort_array(places), entries)
+
+
 def postings(corpus: DataFrame, key: str, text_col: str = "text", fold: bool = True) -> DataFrame:
-    """An inverted index: (key, term, tf, positions). Null texts have no entries."""
-    words = corpus.filter(F.col(text_col).isNotNull()).select(key, F.posexplode(tokens(F.col(text_col), fold)).alias("pos", "term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """An inverted index: (key, term, tf, positions). Null texts have no entries.
+
+    A text's entries are made where it lies and nothing is shuffled, unless rows
+    share a key, which a look at the keys finds out: then texts meet by key first.
+    """
+    rows = corpus.filter(F.col(text_col).isNotNull())
+    if corpus.groupBy(key).count().filter("count > 1").isEmpty():
+        texts = rows.select(key, F.array(text_col).alias("__texts"))
+    else:
+        texts = rows.groupBy(key).agg(F.collect_list(text_col).alias("__texts"))
+    return texts.select(key, F.inline(_entries(F.col("__texts"), fold)))
 
 
 def update_postings(index: DataFrame, changed: DataFrame, removed: DataFrame, key: str, text_col: str = "text", fold: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as sc
-from siltstone.operators import inference, vector
+from siltstone.operators import fulltext, inference, vector
 
 
 def test_mock_embedding_rounds_words_to_floats(spark):
@@ -38,26 +38,29 @@ def test_normalized_zero_keeps_its_sign(spark, tmp_path):
     assert repr(registry.queries()["vec_normalize"](spark, str(tmp_path)).first().unit) == "[1.0, -0.0]"
 
 
-def _join_rows(df):
-    """Rows that each join of the executed plan gave."""
+def _measured(df, kind, metric):
+    """A metric of each operator of the executed plan whose name holds ``kind``."""
     df.collect()
     found, todo = [], [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if kind == "AdaptiveSparkPlanExec":
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
             todo.append(node.executedPlan())
-            continue
-        if kind.endswith("QueryStageExec"):
+        elif name.endswith("QueryStageExec"):
             todo.append(node.plan())
-            continue
-        if "Join" in kind:
-            found.append(node.metrics().get("numOutputRows").get().value())
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.length())]
+        else:
+            if kind in name:
+                found.append(node.metrics().get(metric).get().value())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.length())]
     return found
 
 
+def _join_rows(df):
+    return _measured(df, "Join", "numOutputRows")
+
+
 def test_division_matches_keys_once_a_set(spark):
     givers = [(g, k) for g in range(600) for k in "abc"] + [(g, k) for g in range(600, 630) for k in ("a", None)] * 2
     wanted = [(w, k) for w in range(20) for k in "abc"] + [(20, "a"), (21, None), (22, "a"), (22, None), (23, "z")]
@@ -79,3 +82,15 @@ def test_infer_all_makes_no_row_a_struct_interface_and_method(spark):
     # Of structs and methods joined to their types there are 600 rows, of matches by method 12,000.
     assert max(_join_rows(out)) <= 600
     assert out.select("relationship_id").distinct().count() == 6000
+
+
+def test_postings_are_made_where_the_texts_lie(spark):
+    docs = spark.createDataFrame([(i, "b a b c " * 3) for i in range(20)] + [(20, None), (21, ""), (22, "É-e x")], "id int, text string")
+    index = fulltext.postings(docs, "id")
+    assert _measured(index, "ShuffleExchange", "shuffleRecordsWritten") == []
+    got = {(r.id, r.term): (r.tf, r.positions) for r in index.collect()}
+    assert got[(3, "b")] == (6, [0, 2, 4, 6, 8, 10]) and got[(3, "c")] == (3, [3, 7, 11])
+    assert got[(22, "e")] == (2, [0, 1]) and len(got) == index.count() == 62
+    # Rows that share a key are one text's entries.
+    twice = spark.createDataFrame([(1, "b a"), (1, "b b"), (2, "a"), (None, "z"), (None, "z")], "id int, text string")
+    assert sorted(((r.id, r.term, r.tf, r.positions) for r in fulltext.postings(twice, "id").collect()), key=str) == sorted([(1, "a", 1, [1]), (1, "b", 3, [0, 0, 1]), (2, "a", 1, [0]), (None, "z", 2, [0, 0])], key=str)
