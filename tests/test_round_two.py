@@ -94,3 +94,13 @@ def test_postings_are_made_where_the_texts_lie(spark):
     # Rows that share a key are one text's entries.
     twice = spark.createDataFrame([(1, "b a"), (1, "b b"), (2, "a"), (None, "z"), (None, "z")], "id int, text string")
     assert sorted(((r.id, r.term, r.tf, r.positions) for r in fulltext.postings(twice, "id").collect()), key=str) == sorted([(1, "a", 1, [1]), (1, "b", 3, [0, 0, 1]), (2, "a", 1, [0]), (None, "z", 2, [0, 0])], key=str)
+
+
+def test_update_shuffles_texts_and_no_entries(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + k}" for k in range(50))) for i in range(60)], "id int, text string")
+    changed = docs.filter("id % 5 = 0").select("id", F.when(F.col("id") % 15 != 0, F.lit("new text")).alias("text"))
+    removed = docs.filter("id % 7 = 3").select("id")
+    after = fulltext.update_postings(fulltext.postings(docs, "id"), changed, removed, "id")
+    # There are 3,000 entries of 60 texts.
+    assert max(_measured(after, "ShuffleExchange", "shuffleRecordsWritten")) <= 60
+    assert after.count() == 50 * sum(i % 5 != 0 and i % 7 != 3 for i in range(60)) + 2 * sum(i % 5 == 0 and i % 15 != 0 for i in range(60))
