@@ -1,4 +1,4 @@
-"""Cutting of lineage in iterations."""
+"""Cutting of lineage in iterations, dealing of rows for work in Python."""
 
 from __future__ import annotations
 
@@ -22,3 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
             folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by key over at least four tasks a core, for work that costs more than its bytes tell.
+
+    Scans are split by bytes: a million short files may lie in one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as sc
-from siltstone.operators import fulltext, inference, vector
+from siltstone.operators import fulltext, inference, pattern, vector
+from siltstone.sources import extract
 
 
 def test_mock_embedding_rounds_words_to_floats(spark):
@@ -104,3 +105,11 @@ def test_update_shuffles_texts_and_no_entries(spark):
     # There are 3,000 entries of 60 texts.
     assert max(_measured(after, "ShuffleExchange", "shuffleRecordsWritten")) <= 60
     assert after.count() == 50 * sum(i % 5 != 0 and i % 7 != 3 for i in range(60)) + 2 * sum(i % 5 == 0 and i % 15 != 0 for i in range(60))
+
+
+def test_short_files_are_dealt_over_the_cores(spark):
+    files = spark.createDataFrame([(f"a{i}.py", "x = 1\ndef f(a):\n    return g(a)\n", "python") for i in range(400)], "file_path string, content string, language string").coalesce(1)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for found in (extract.extract_graph(files), extract.extract_tiers(files), pattern.pattern_match(files, "g($A)")):
+        assert found.rdd.getNumPartitions() >= tasks
+        assert found.select("file_path").distinct().count() == 400
