@@ -113,3 +113,21 @@ def test_short_files_are_dealt_over_the_cores(spark):
     for found in (extract.extract_graph(files), extract.extract_tiers(files), pattern.pattern_match(files, "g($A)")):
         assert found.rdd.getNumPartitions() >= tasks
         assert found.select("file_path").distinct().count() == 400
+
+
+def test_line_counts_of_odd_texts_equal_the_sql(spark, tmp_path):
+    from siltstone.plans import registry
+
+    texts = ["", "\n", "\n\n", "a\n", "a", None, "\t", "\t# x", "  # x\n * y\n// z\n/* w */", " # x\n　\n // y", "\u0085\n \n​", "\r\na\r\n\r\n", " \n \n"]
+    rows = [(100 * i + k, t, s) for i, t in enumerate(texts) for k in range(8) for s in [None if k == 5 else "s"]]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        got = sorted(map(tuple, registry.queries()["line_counts"](spark, str(tmp_path)).select("doc_id", "total", "blank", "comment", "code").collect()))
+        spark.conf.unset("spark.sql.ansi.enabled")
+        assert got == sorted(con.execute(registry.oracle_sql()["line_counts"]).fetchall())
+    # Files keep the counts of a scanner that trims tabs and sees no line in an empty file.
+    own = spark.createDataFrame([("",), ("\t# x\n\t\n",)], "t string").select(sc.line_counts(F.col("t"), F.lit("a.py")).alias("c")).collect()
+    assert [tuple(r.c) for r in own] == [(0, 0, 0, 0), (2, 1, 1, 0)]
