@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import resolve_embedded
-from siltstone.work import cut
+from siltstone.work import cut, spread
 
 
 def divide(required: DataFrame, offered: DataFrame, wanted: str, giver: str, keys: list[str]) -> DataFrame:
@@ -20,12 +20,13 @@ def divide(required: DataFrame, offered: DataFrame, wanted: str, giver: str, key
     Keys are matched once for each distinct set of them, and givers get what
     their set fits: however many givers share a key, they don't meet in one
     task, and no row a giver, wanted and key is made. Keys are texts, numbers
-    and structs or arrays of these.
+    and structs or arrays of these. Givers are spread over tasks that grow in
+    number with the input, and not in size.
     """
     need = required.select(wanted, *keys).distinct()
     sizes = need.groupBy(wanted).agg(F.count("*").alias("__need"))
     name = F.sha2(F.to_json("__set"), 256).alias("__name")
-    sets = offered.groupBy(giver).agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("__set"))
+    sets = spread(offered, giver).groupBy(giver).agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("__set"))
     parts = sets.select("__set").distinct().select(name, F.inline("__set"))
     hits = parts.join(need, keys).groupBy("__name", wanted).agg(F.count("*").alias("__hit"))
     fits = hits.join(sizes, wanted).filter("__hit = __need").groupBy("__name").agg(F.collect_list(wanted).alias("__fits"))
@@ -42,9 +43,12 @@ def infer_implements(types: DataFrame, fields: DataFrame, functions: DataFrame)
     interfaces = types.filter("kind = 'interface'").select("type_id")
     structs = types.filter("kind = 'struct'").select("type_id")
     wanted = fields.filter("is_method").join(interfaces, "type_id").select("type_id", "name", F.struct(*counts).alias("s"), "field_id")
-    given = functions.join(structs, functions["receiver_type_id"] == structs["type_id"]).select("type_id", "name", F.struct(*counts).alias("s"), "function_id")
+    given = functions.select(F.col("receiver_type_id").alias("from_type_id"), "name", F.struct(*counts).alias("s"), "function_id")
     wanted = wanted.groupBy("type_id", "name").agg(F.max_by("s", "field_id").alias("s")).withColumnRenamed("type_id", "to_type_id")
-    given = given.groupBy("type_id", "name").agg(F.max_by("s", "function_id").alias("s")).withColumnRenamed("type_id", "from_type_id")
+    # One exchange by struct serves the choice of methods, the join to structs and the division.
+    given = spread(given, "from_type_id").groupBy("from_type_id", "name").agg(F.max_by("s", "function_id").alias("s"))
+    # Not a semi-join, which would sink to the methods' scan, nor a broadcast, as structs grow with the input.
+    given = given.join(structs.select(F.col("type_id").alias("from_type_id")).distinct().hint("merge"), "from_type_id")
     some = divide(wanted, given, "to_type_id", "from_type_id", ["name", "s"])
     bare = interfaces.withColumnRenamed("type_id", "to_type_id").join(wanted.select("to_type_id"), "to_type_id", "left_anti")
     # Every struct implements an interface without methods: that many rows are the result.

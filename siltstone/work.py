@@ -1,4 +1,4 @@
-"""Cutting of lineage in iterations, dealing of rows for work in Python."""
+"""Cutting of lineage in iterations, dealing of rows for work in Python and over tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -31,3 +31,21 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+# Bytes of input files a task of ``spread``, about; rows in memory take several times as much.
+TASK_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by key over tasks whose number grows with the input, so that a task's rows don't.
+
+    Adaptive execution joins small partitions to few tasks, by their compressed
+    size, and leaves these alone. Inputs of unknown size count as none.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    by_size = sum(s for s in sizes if s < 1 << 60) // TASK_BYTES
+    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(least, by_size), key)

@@ -85,6 +85,25 @@ def test_infer_all_makes_no_row_a_struct_interface_and_method(spark):
     assert out.select("relationship_id").distinct().count() == 6000
 
 
+def test_structs_methods_are_spread_over_tasks_that_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from siltstone import work
+
+    spark.range(4000).selectExpr("concat('s', id div 4) AS receiver_type_id", "concat('m', id % 4) AS name", "1 AS param_count", "0 AS return_count", "concat('f', id) AS function_id").write.parquet(f"{tmp_path}/f")
+    functions = spark.read.parquet(f"{tmp_path}/f")
+    types = spark.range(1000).selectExpr("concat('s', id) AS type_id", "if(id < 999, 'struct', 'alias') AS kind").unionByName(spark.sql("SELECT 'i' AS type_id, 'interface' AS kind"))
+    fields = spark.createDataFrame([("i", "m0", "", True, 1, 0, "x"), ("i", "m3", "", True, 1, 0, "y")], "type_id string, name string, field_type string, is_method boolean, param_count int, return_count int, field_id string")
+    assert work.spread(functions, "name").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(work, "TASK_BYTES", sum(f.stat().st_size for f in (tmp_path / "f").glob("*.parquet")) // 50)
+    assert work.spread(functions, "name").rdd.getNumPartitions() >= 50
+    out = inference.infer_all(types.unionByName(types), fields, functions, "my.org/mod/")
+    # All 4,000 methods were sorted in as few tasks as there are cores, or met structs that were broadcast.
+    spread_out = [n for n in _measured(out, "ShuffleExchange", "numPartitions") if n >= 50]
+    assert spread_out
+    assert max(_measured(out, "SortMergeJoin", "numOutputRows")) >= 3996
+    pairs = sorted(tuple(r) for r in out.select("from_type_id", "to_type_id").collect())
+    assert pairs == sorted((f"s{i}", "i") for i in range(999))
+
+
 def test_postings_are_made_where_the_texts_lie(spark):
     docs = spark.createDataFrame([(i, "b a b c " * 3) for i in range(20)] + [(20, None), (21, ""), (22, "É-e x")], "id int, text string")
     index = fulltext.postings(docs, "id")
