@@ -255,7 +255,8 @@ def update_postings(index: DataFrame, changed: DataFrame, removed: DataFrame, ke
     Entries of written and deleted keys go, then the written rows' new ones
     come; a text that became null thus leaves the index.
     """
-    gone = changed.select(key).unionByName(removed.select(key)).distinct()
+    # Keys are hashed and texts stream past them: a sort would hold a task's texts in memory.
+    gone = changed.select(key).unionByName(removed.select(key)).distinct().hint("shuffle_hash")
     return index.join(gone, key, "left_anti").select(*index.columns).unionByName(postings(changed, key, text_col, fold).select(*index.columns))
 
 

@@ -126,6 +126,19 @@ def test_update_shuffles_texts_and_no_entries(spark):
     assert after.count() == 50 * sum(i % 5 != 0 and i % 7 != 3 for i in range(60)) + 2 * sum(i % 5 == 0 and i % 15 != 0 for i in range(60))
 
 
+def test_update_sorts_no_texts(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + k}" for k in range(50))) for i in range(60)], "id int, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = fulltext.update_postings(fulltext.postings(docs, "id"), docs.filter("id % 5 = 0"), docs.filter("id % 7 = 3").select("id"), "id")
+        assert _measured(after, "SortExec", "peakMemory") == []
+        assert sorted(r.id for r in after.select("id").distinct().collect()) == [i for i in range(60) if i % 5 == 0 or i % 7 != 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_short_files_are_dealt_over_the_cores(spark):
     files = spark.createDataFrame([(f"a{i}.py", "x = 1\ndef f(a):\n    return g(a)\n", "python") for i in range(400)], "file_path string, content string, language string").coalesce(1)
     tasks = 4 * spark.sparkContext.defaultParallelism
